@@ -17,19 +17,22 @@ SMALL = 20_000
 _SEPARATOR = "\x01"
 
 
-def sample_keys(df: DataFrame, group: Sequence[str], key: str, k: int) -> list[str]:
+def sample_keys(df: DataFrame, group: Sequence[str], key: str, k: int) -> list:
     """Keys of the ``k`` rows with the smallest row hash: a uniform sample taken in one pass."""
     drawn = df.select(F.xxhash64(*group, key).alias("_h"), F.col(key).alias("_k")).orderBy("_h", "_k").limit(k)
+    # At most k values reach the driver.
     return sorted(row["_k"] for row in drawn.collect())
 
 
-def equal_depth_bounds(keys: Sequence[str], n: int) -> list[str]:
-    return sorted({keys[len(keys) * i // n] for i in range(1, n)})
+def equal_depth_bounds(keys: Sequence, n: int) -> list:
+    drawn = {keys[len(keys) * i // n] for i in range(1, n)}
+    return sorted(b for b in drawn if not (isinstance(b, str) and _SEPARATOR in b))
 
 
-def range_bucket(key: Column, bounds: Sequence[str]) -> Column:
+def range_bucket(key: Column, key_type: str, bounds: Sequence) -> Column:
     """Number of bounds at or below the key, by binary search in a constant sorted array."""
-    array = F.split(F.lit(_SEPARATOR.join(bounds)), _SEPARATOR)
+    texts = [b if isinstance(b, str) else repr(b) for b in bounds]
+    array = F.split(F.lit(_SEPARATOR.join(texts)), _SEPARATOR).cast(f"array<{key_type}>")
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
 
     def advance(at, step):
@@ -50,7 +53,8 @@ def ordered_prefix(
     """Add the 0-based ``position`` of each row in its group by ``key``, and for each entry of
     ``sums`` the total over the earlier rows of the group (NULL if there are none).
 
-    ``group`` columns are not NULL, ``key`` is text, not NULL, and unique inside its group.
+    ``group`` columns are not NULL, ``key`` is text or a number, not NULL, and
+    unique inside its group.
     """
     sums = dict(sums or {})
     n = buckets or min(4096, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -68,7 +72,7 @@ def ordered_prefix(
         work = work.withColumn(position, (F.row_number().over(window) - 1).cast("long"))
         return work.withColumns({s: F.sum(s).over(earlier) for s in sums})
 
-    work = work.withColumn("_bucket", range_bucket(F.col(key), bounds))
+    work = work.withColumn("_bucket", range_bucket(F.col(key), df.schema[key].dataType.simpleString(), bounds))
     totals = work.groupBy(*group, "_bucket").agg(
         F.count("*").alias("_n"), *(F.sum(s).alias(f"_{s}") for s in sums)
     )
