@@ -17,11 +17,13 @@ SMALL = 20_000
 _SEPARATOR = "\x01"
 
 
-def sample_keys(df: DataFrame, group: Sequence[str], key: str, k: int) -> list:
-    """Keys of the ``k`` rows with the smallest row hash: a uniform sample taken in one pass."""
-    drawn = df.select(F.xxhash64(*group, key).alias("_h"), F.col(key).alias("_k")).orderBy("_h", "_k").limit(k)
-    # At most k values reach the driver.
-    return sorted(row["_k"] for row in drawn.collect())
+def sample_keys(df: DataFrame, group: Sequence[str], key: str, k: int, total: int) -> list:
+    """Keys of about ``k`` of the ``total`` rows, drawn by row hash.
+
+    Every task returns only its drawn rows, so about ``k`` values in all reach the driver.
+    """
+    drawn = F.pmod(F.xxhash64(*group, key), F.lit(1 << 40)) < int((1 << 40) * min(1.0, k / total))
+    return sorted(row["_k"] for row in df.filter(drawn).select(F.col(key).alias("_k")).collect())
 
 
 def equal_depth_bounds(keys: Sequence, n: int) -> list:
@@ -58,20 +60,19 @@ def ordered_prefix(
     """
     sums = dict(sums or {})
     n = buckets or min(4096, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    k = max(small, 32 * n)
-    keys = sample_keys(df, group, key, k)
-    bounds = equal_depth_bounds(keys, n) if len(keys) >= k else []
+    total = df.count()
 
     work = df
     for name, value in sums.items():
         work = work.withColumn(name, value)
-    if not bounds:
-        # Fewer rows than the sample size: every group fits one task.
+    if total <= small:
+        # Counted, not assumed: all rows together fit one task.
         window = Window.partitionBy(*group).orderBy(key)
         earlier = window.rowsBetween(Window.unboundedPreceding, -1)
         work = work.withColumn(position, (F.row_number().over(window) - 1).cast("long"))
         return work.withColumns({s: F.sum(s).over(earlier) for s in sums})
 
+    bounds = equal_depth_bounds(sample_keys(df, group, key, max(1024, 32 * n), total), n)
     work = work.withColumn("_bucket", range_bucket(F.col(key), df.schema[key].dataType.simpleString(), bounds))
     totals = work.groupBy(*group, "_bucket").agg(
         F.count("*").alias("_n"), *(F.sum(s).alias(f"_{s}") for s in sums)

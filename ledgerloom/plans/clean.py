@@ -10,6 +10,7 @@ from ledgerloom.functions.numbers import nulls_last_text
 from ledgerloom.operators.dedupe import dedupe_total_order
 from ledgerloom.operators.ordered import ordered_prefix
 from ledgerloom.operators.parents import keep_with_parent
+from ledgerloom.session import Keep, materialize, unstored
 
 # Defaults for missing text.
 DEFAULT_STATUS = "delivered"
@@ -132,7 +133,8 @@ def clean_payments(raw: DataFrame, orders: DataFrame, with_sequence: bool = True
     typed = default_payment_type(unique)
     columns = ["order_id", "payment_type", "num_installments", "payment_value"]
     if with_sequence:
-        typed = typed.withColumn("_seq", nulls_last_text("payment_sequential"))
+        # The positions read their input several times.
+        typed = materialize(typed.withColumn("_seq", nulls_last_text("payment_sequential")), "payments_unique")
         typed = ordered_prefix(typed, ["order_id"], "_seq", position="_at")
         typed = typed.withColumn("payment_sequential", (F.col("_at") + 1).cast("int"))
         columns.insert(1, "payment_sequential")
@@ -158,20 +160,24 @@ def clean_reviews(raw: DataFrame, orders: DataFrame) -> DataFrame:
     return keep_with_parent(typed, "order_id", orders)
 
 
-def clean_all(raw: dict[str, DataFrame], keep=lambda df, label: df, with_sequence: bool = True) -> dict[str, DataFrame]:
-    """All typed tables. ``keep`` stores a table (for example on shared storage) so that later
-    stages read it instead of cleaning it again."""
-    orders = keep(clean_orders(raw["staging_orders"]), "orders")
-    categories = keep(clean_product_category(raw["staging_product_category"]), "product_category")
-    products = keep(clean_products(raw["staging_products"], categories), "products")
-    sellers = keep(clean_sellers(raw["staging_sellers"]), "sellers")
-    return {
-        "orders": orders,
-        "product_category": categories,
-        "products": products,
-        "sellers": sellers,
-        "item_orders": keep(clean_item_orders(raw["staging_item_orders"], orders, sellers, products), "item_orders"),
-        "customers": keep(clean_customers(raw["staging_customers"], orders), "customers"),
-        "payments": keep(clean_payments(raw["staging_payments"], orders, with_sequence), "payments"),
-        "reviews": keep(clean_reviews(raw["staging_reviews"], orders), "reviews"),
-    }
+def clean_all(raw: dict[str, DataFrame], keep: Keep = unstored, with_sequence: bool = True) -> dict[str, DataFrame]:
+    """All typed tables. ``keep`` stores tables (for example on shared storage) so that later
+    stages read them instead of cleaning again."""
+    categories = clean_product_category(raw["staging_product_category"])
+    parents = keep(
+        {
+            "orders": clean_orders(raw["staging_orders"]),
+            "product_category": categories,
+            "products": clean_products(raw["staging_products"], categories),
+            "sellers": clean_sellers(raw["staging_sellers"]),
+        }
+    )
+    orders, products, sellers = parents["orders"], parents["products"], parents["sellers"]
+    return parents | keep(
+        {
+            "item_orders": clean_item_orders(raw["staging_item_orders"], orders, sellers, products),
+            "customers": clean_customers(raw["staging_customers"], orders),
+            "payments": clean_payments(raw["staging_payments"], orders, with_sequence),
+            "reviews": clean_reviews(raw["staging_reviews"], orders),
+        }
+    )

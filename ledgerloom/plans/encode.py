@@ -27,11 +27,11 @@ def encode_payment_type(payments: DataFrame) -> DataFrame:
     return encode_keys(payments.select("payment_type").distinct(), "payment_type", "payment_type_encoding")
 
 
-def encode_all(typed: dict[str, DataFrame], keep=lambda df, label: df) -> dict[str, DataFrame]:
+def encode_all(typed: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {
-        "category": keep(encode_category(typed["product_category"]), "category_encoding"),
-        "state": keep(encode_state(typed["sellers"]), "state_encoding"),
-        "payment_type": keep(encode_payment_type(typed["payments"]), "payment_type_encoding"),
+        "category": encode_category(typed["product_category"]),
+        "state": encode_state(typed["sellers"]),
+        "payment_type": encode_payment_type(typed["payments"]),
     }
 
 

@@ -9,6 +9,7 @@ from ledgerloom.functions.calendar import day_of_week, days_between, on_weekend
 from ledgerloom.functions.numbers import flag
 from ledgerloom.operators.dedupe import first_per_key
 from ledgerloom.plans import encode, history, items, rollups
+from ledgerloom.session import Keep, unstored
 
 # Columns known at purchase time.
 PURCHASE_TIME_COLUMNS = [
@@ -185,13 +186,13 @@ def trainable(df: DataFrame) -> DataFrame:
     return df.drop(*UNTRAINED_COLUMNS)
 
 
-def feature_inputs(typed: dict[str, DataFrame], keep=lambda df, label: df) -> dict[str, DataFrame]:
+def feature_inputs(typed: dict[str, DataFrame], keep: Keep = unstored) -> dict:
     """The inputs of the wide table from the typed tables."""
-    encodings = encode.encode_all(typed, keep)
-    base = keep(history.seller_history_base(typed["item_orders"], typed["orders"]), "history")
-    joined = keep(
-        items.order_items_joined(typed["item_orders"], typed["products"], typed["sellers"], encodings), "items_joined"
-    )
+    base = history.seller_history_base(typed["item_orders"], typed["orders"])
+    frozen = keep({**encode.encode_all(typed), "history": base})
+    base, encodings = frozen.pop("history"), frozen
+    joined = items.order_items_joined(typed["item_orders"], typed["products"], typed["sellers"], encodings)
+    joined = keep({"items_joined": joined})["items_joined"]
     return {
         "targets": order_targets(typed["orders"], typed["customers"]),
         "payments": rollups.payment_rollup(typed["payments"], encodings["payment_type"]),
@@ -203,14 +204,14 @@ def feature_inputs(typed: dict[str, DataFrame], keep=lambda df, label: df) -> di
     }
 
 
-def wide_from_typed(typed: dict[str, DataFrame], keep=lambda df, label: df) -> DataFrame:
+def wide_from_typed(typed: dict[str, DataFrame], keep: Keep = unstored) -> DataFrame:
     parts = feature_inputs(typed, keep)
     return customer_features_wide(
         parts["targets"], parts["payments"], parts["reviews"], parts["item_features"], parts["history_to_date"]
     )
 
 
-def view_from_typed(typed: dict[str, DataFrame], keep=lambda df, label: df) -> DataFrame:
+def view_from_typed(typed: dict[str, DataFrame], keep: Keep = unstored) -> DataFrame:
     parts = feature_inputs(typed, keep)
     return purchase_time_view(
         parts["targets"], parts["payments"], parts["item_features"], parts["history_to_date"]

@@ -88,10 +88,10 @@ def _ratio_bounds() -> list[Column]:
     return [F.max(share).alias("max_freight_ratio"), F.min(share).alias("min_freight_ratio")]
 
 
-def order_rollup(joined: DataFrame) -> DataFrame:
+def _rollup() -> list[Column]:
     freight, merch = F.sum("freight_value"), F.sum("price")
     first, last = F.min("shipping_limit_date"), F.max("shipping_limit_date")
-    return joined.groupBy("order_id").agg(
+    return [
         F.count("*").alias("num_items_in_order"),
         freight.cast("decimal(12,2)").alias("total_freight_value"),
         merch.cast("decimal(12,2)").alias("total_merch_value"),
@@ -104,7 +104,11 @@ def order_rollup(joined: DataFrame) -> DataFrame:
         *_ratio_bounds(),
         last.alias("latest_shipping_limit_date"),
         F.datediff(last, first).alias("shipping_window_days"),
-    )
+    ]
+
+
+def order_rollup(joined: DataFrame) -> DataFrame:
+    return joined.groupBy("order_id").agg(*_rollup())
 
 
 def category_counts(joined: DataFrame) -> DataFrame:
@@ -197,19 +201,15 @@ def top_seller(joined: DataFrame) -> DataFrame:
 
 
 def item_order_features(joined: DataFrame) -> DataFrame:
-    """All item features of an order. The parts are grouped by the same key and joined on it,
-    so the joins add no shuffle."""
-    expensive = most_expensive_item(joined).select(
-        "order_id",
-        F.col("product_id").alias("most_exp_product_id"),
-        F.col("price").alias("most_exp_price"),
-        F.col("freight_value").alias("most_exp_freight"),
-        F.col("product_category").alias("most_exp_prod_category"),
-        F.col("product_category_encoding").alias("most_exp_encoded_category"),
-    )
-    return (
-        order_rollup(joined)
-        .join(expensive, "order_id")
-        .join(top_category(joined), "order_id")
-        .join(top_seller(joined), "order_id")
-    )
+    """All item features of an order: one aggregate over the items, one over their categories and
+    one over their sellers, joined on the grouping key without a further shuffle."""
+    rolled = joined.groupBy("order_id").agg(*_rollup(), _most_expensive().alias("_best"))
+    rolled = rolled.select(
+        "*",
+        F.col("_best.product_id").alias("most_exp_product_id"),
+        F.col("_best.price").alias("most_exp_price"),
+        F.col("_best.freight_value").alias("most_exp_freight"),
+        F.col("_best.product_category").alias("most_exp_prod_category"),
+        F.col("_best.product_category_encoding").alias("most_exp_encoded_category"),
+    ).drop("_best")
+    return rolled.join(top_category(joined), "order_id").join(top_seller(joined), "order_id")

@@ -12,6 +12,8 @@ from ledgerloom.functions import casts
 from ledgerloom.operators.dedupe import dedupe_latest
 from ledgerloom.operators.rules import Rule, first_reason
 from ledgerloom.plans import features, history, items, rollups
+from ledgerloom.session import Keep, unstored
+from ledgerloom.sources.schemas import REQUEST_COLUMNS
 
 # Defaults for missing text.
 DEFAULT_STATUS = "created"
@@ -178,20 +180,29 @@ def rejected_items(raw: DataFrame, valid: DataFrame) -> DataFrame:
     )
 
 
-def validate(raw: dict[str, DataFrame], keep=lambda df, label: df) -> dict[str, DataFrame]:
+def validate(raw: dict[str, DataFrame], keep: Keep = unstored) -> dict[str, DataFrame]:
     """Valid and refused rows of the three request tables."""
-    orders = keep(valid_orders(raw["staging_user_orders"]), "valid_orders")
-    payments = keep(valid_payments(raw["staging_user_payments"], orders), "valid_payments")
-    lines = keep(valid_items(raw["staging_user_order_items"], orders), "valid_items")
+    raw_orders, raw_items, raw_payments = (raw[t] for t in REQUEST_COLUMNS)
+    orders = keep({"valid_orders": valid_orders(raw_orders)})["valid_orders"]
+    valid = keep(
+        {
+            "valid_payments": valid_payments(raw_payments, orders),
+            "valid_items": valid_items(raw_items, orders),
+            "rejected_user_orders": rejected_orders(raw_orders, orders),
+        }
+    )
+    refused = keep(
+        {
+            "rejected_user_payments": rejected_payments(raw_payments, valid["valid_payments"]),
+            "rejected_user_order_items": rejected_items(raw_items, valid["valid_items"]),
+        }
+    )
     return {
         "orders": orders,
-        "payments": payments,
-        "items": lines,
-        "rejected_user_orders": keep(rejected_orders(raw["staging_user_orders"], orders), "rejected_user_orders"),
-        "rejected_user_payments": keep(
-            rejected_payments(raw["staging_user_payments"], payments), "rejected_user_payments"
-        ),
-        "rejected_user_order_items": keep(rejected_items(raw["staging_user_order_items"], lines), "rejected_user_order_items"),
+        "payments": valid["valid_payments"],
+        "items": valid["valid_items"],
+        "rejected_user_orders": valid["rejected_user_orders"],
+        **refused,
     }
 
 

@@ -1,4 +1,5 @@
-"""Rows refused by the cleaning stage, with the first reason that applies."""
+"""Rows dropped by the cleaning stage: the refused rows with the first reason that applies, and an
+audit of every dropped row. Both come from one ordered rule list per table."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import casts
 from ledgerloom.operators.dedupe import dedupe_total_order
 from ledgerloom.operators.parents import mark_missing
-from ledgerloom.operators.rules import Rule, refused
+from ledgerloom.operators.rules import Rule, first_reason, refused
 
 
 def _null(column: str, reason: str) -> Rule:
@@ -22,45 +23,41 @@ def _not(column: Column | str, pattern: str, reason: str) -> Rule:
     return ~value.rlike(pattern), reason
 
 
-def _refused(raw: DataFrame, rules: Sequence[Rule], marked: DataFrame | None = None) -> DataFrame:
-    return refused(raw if marked is None else marked, rules).select(*raw.columns, "rejected_reason")
+# The reason texts below are fixed values. A rule without a reason refuses the row silently.
 
 
-# The reason texts below are fixed values.
-
-
-def rejected_orders(raw: DataFrame) -> DataFrame:
-    rules = [
+def _order_rules(raw: DataFrame) -> tuple[DataFrame, list[Rule]]:
+    return raw, [
         _null("order_id", "NULL order_id"),
         _null("customer_id", "NULL customer_id"),
         _null("purchase_date", "NULL purchase_date"),
         _not("purchase_date", casts.TIMESTAMP_TEXT, "Incorrect purchase_date format"),
     ]
-    return _refused(raw, rules)
 
 
-def rejected_sellers(raw: DataFrame) -> DataFrame:
-    return _refused(raw, [_null("seller_id", "seller_id is NULL")])
+def _seller_rules(raw: DataFrame) -> tuple[DataFrame, list[Rule]]:
+    return raw, [_null("seller_id", "seller_id is NULL")]
 
 
-def rejected_product_category(raw: DataFrame) -> DataFrame:
-    return _refused(raw, [_null("product_category", "product_category is NULL")])
+def _category_rules(raw: DataFrame) -> tuple[DataFrame, list[Rule]]:
+    return raw, [_null("product_category", "product_category is NULL")]
 
 
-def rejected_products(raw: DataFrame, categories: DataFrame) -> DataFrame:
+def _product_rules(raw: DataFrame, categories: DataFrame) -> tuple[DataFrame, list[Rule]]:
     marked = mark_missing(raw, "product_category_name", categories, "_no_category", "product_category")
-    rules = [
+    return marked, [
         _null("product_id", "NULL product_id"),
         (F.col("_no_category"), "product_category_name not in parent"),
     ]
-    return _refused(raw, rules, marked)
 
 
-def rejected_item_orders(raw: DataFrame, orders: DataFrame, sellers: DataFrame, products: DataFrame) -> DataFrame:
+def _item_rules(
+    raw: DataFrame, orders: DataFrame, sellers: DataFrame, products: DataFrame
+) -> tuple[DataFrame, list[Rule]]:
     marked = mark_missing(raw, "order_id", orders, "_no_order")
     marked = mark_missing(marked, "seller_id", sellers, "_no_seller")
     marked = mark_missing(marked, "product_id", products, "_no_product")
-    rules = [
+    return marked, [
         _null("order_id", "NULL order_id"),
         _null("item_id", "NULL item_id"),
         _null("product_id", "NULL product_id"),
@@ -72,35 +69,27 @@ def rejected_item_orders(raw: DataFrame, orders: DataFrame, sellers: DataFrame,
         (F.col("_no_seller"), "seller_id not in final_sellers"),
         (F.col("_no_product"), "product_id not in final_products"),
     ]
-    return _refused(raw, rules, marked)
 
 
-def rejected_customers(raw: DataFrame, orders: DataFrame) -> DataFrame:
-    """Customers without an order are refused without a reason."""
-    marked = mark_missing(raw, "customer_id", orders, "_no_order")
-    rules = [
+def _customer_rules(raw: DataFrame, orders: DataFrame) -> tuple[DataFrame, list[Rule]]:
+    return mark_missing(raw, "customer_id", orders, "_no_order"), [
         _null("customer_id", "NULL customer_id"),
         _null("customer_unique_id", "NULL customer_unique_id"),
         (F.col("_no_order"), None),
     ]
-    return _refused(raw, rules, marked)
 
 
-def rejected_payments(raw: DataFrame, orders: DataFrame) -> DataFrame:
-    """Missing values and payments without an order are refused without a reason."""
-    marked = mark_missing(raw, "order_id", orders, "_no_order")
-    rules = [
+def _payment_rules(raw: DataFrame, orders: DataFrame) -> tuple[DataFrame, list[Rule]]:
+    return mark_missing(raw, "order_id", orders, "_no_order"), [
         _null("order_id", "NULL order_id"),
         _not(F.trim("payment_value"), casts.DECIMAL_TEXT, "Incorrect payment_value format"),
         (F.col("payment_value").isNull(), None),
         (F.col("_no_order"), None),
     ]
-    return _refused(raw, rules, marked)
 
 
-def rejected_reviews(raw: DataFrame, orders: DataFrame) -> DataFrame:
-    marked = mark_missing(raw, "order_id", orders, "_no_order")
-    rules = [
+def _review_rules(raw: DataFrame, orders: DataFrame) -> tuple[DataFrame, list[Rule]]:
+    return mark_missing(raw, "order_id", orders, "_no_order"), [
         _null("review_id", "NULL review_id"),
         _null("order_id", "NULL order_id"),
         _null("review_score", "NULL review_score"),
@@ -109,7 +98,45 @@ def rejected_reviews(raw: DataFrame, orders: DataFrame) -> DataFrame:
         _not("post_date", casts.TIMESTAMP_TEXT, "Incorrect post_date format"),
         (F.col("_no_order"), "order_id not in parent"),
     ]
-    return _refused(raw, rules, marked)
+
+
+def _refused(raw: DataFrame, marked_rules: tuple[DataFrame, list[Rule]]) -> DataFrame:
+    marked, rules = marked_rules
+    return refused(marked, rules).select(*raw.columns, "rejected_reason")
+
+
+def rejected_orders(raw: DataFrame) -> DataFrame:
+    return _refused(raw, _order_rules(raw))
+
+
+def rejected_sellers(raw: DataFrame) -> DataFrame:
+    return _refused(raw, _seller_rules(raw))
+
+
+def rejected_product_category(raw: DataFrame) -> DataFrame:
+    return _refused(raw, _category_rules(raw))
+
+
+def rejected_products(raw: DataFrame, categories: DataFrame) -> DataFrame:
+    return _refused(raw, _product_rules(raw, categories))
+
+
+def rejected_item_orders(raw: DataFrame, orders: DataFrame, sellers: DataFrame, products: DataFrame) -> DataFrame:
+    return _refused(raw, _item_rules(raw, orders, sellers, products))
+
+
+def rejected_customers(raw: DataFrame, orders: DataFrame) -> DataFrame:
+    """Customers without an order are refused without a reason."""
+    return _refused(raw, _customer_rules(raw, orders))
+
+
+def rejected_payments(raw: DataFrame, orders: DataFrame) -> DataFrame:
+    """Missing values and payments without an order are refused without a reason."""
+    return _refused(raw, _payment_rules(raw, orders))
+
+
+def rejected_reviews(raw: DataFrame, orders: DataFrame) -> DataFrame:
+    return _refused(raw, _review_rules(raw, orders))
 
 
 def reject_all(raw: dict[str, DataFrame], typed: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -128,33 +155,93 @@ def reject_all(raw: dict[str, DataFrame], typed: dict[str, DataFrame]) -> dict[s
     }
 
 
-def audit_orders(raw: DataFrame) -> DataFrame:
-    """Every raw order row that has no typed row of its own, with a reason: the refused rows,
-    calendar-invalid dates and the losers of the dedupe.
+def _audit(
+    raw: DataFrame,
+    keys: Sequence[str],
+    required: Sequence[str],
+    marked_rules: tuple[DataFrame, list[Rule]],
+    more: Sequence[Rule] = (),
+) -> DataFrame:
+    """Dropped rows of a table: those that meet a rule, and rows that lost to another row of
+    their key. Rows equal in every column are counted in ``copies``.
 
-    Rows of the same key that are equal in every column are counted in ``copies``.
+    A bad row may win its key and shadow good ones; those are duplicates here, as in the cleaning.
     """
-    usable = raw.na.drop(subset=["order_id", "customer_id", "purchase_date"])
-    winner = dedupe_total_order(usable, ["order_id"])
-    counted = raw.groupBy(*raw.columns).agg(F.count("*").alias("copies"))
-    marked = winner.withColumn("_wins", F.lit(True))
+    marked, rules = marked_rules
+    problem = first_reason([*(r for r in rules if r[1] is not None), *more])
+    winner = dedupe_total_order(raw.na.drop(subset=list(required)), keys).withColumn("_wins", F.lit(True))
+    counted = marked.groupBy(*marked.columns).agg(F.count("*").alias("copies"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"w.{c}")) for c in raw.columns]
-    joined = counted.alias("a").join(marked.alias("w"), same, "left").select(
-        "a.*", F.coalesce("w._wins", F.lit(False)).alias("_wins")
-    )
-    typed = casts.timestamp_to_date("purchase_date")
-    reason = (
-        F.when(F.col("order_id").isNull(), "NULL order_id")
-        .when(F.col("customer_id").isNull(), "NULL customer_id")
-        .when(F.col("purchase_date").isNull(), "NULL purchase_date")
-        .when(~F.col("purchase_date").rlike(casts.TIMESTAMP_TEXT), "Incorrect purchase_date format")
-        .when(typed.isNull(), "purchase_date not in the calendar")
-        .otherwise("duplicate order_id")
-    )
-    lost = F.col("copies") - F.when(F.col("_wins") & typed.isNotNull(), 1).otherwise(0)
+    joined = counted.alias("a").join(winner.alias("w"), same, "left").select("a.*", F.col("w._wins").alias("_wins"))
+    kept = F.when(F.col("_wins") & F.col("_problem").isNull(), 1).otherwise(0)
     return (
-        joined.withColumn("rejected_reason", reason)
-        .withColumn("copies", lost)
+        joined.withColumn("_problem", problem)
+        .withColumn("copies", F.col("copies") - kept)
+        .withColumn("rejected_reason", F.coalesce("_problem", F.lit(f"duplicate {', '.join(keys)}")))
         .filter("copies > 0")
         .select(*raw.columns, "copies", "rejected_reason")
     )
+
+
+def _lost(column: Column, reason: str) -> Rule:
+    return column.isNull(), reason
+
+
+def audit_orders(raw: DataFrame) -> DataFrame:
+    return _audit(
+        raw, ["order_id"], ["order_id", "customer_id", "purchase_date"], _order_rules(raw),
+        [_lost(casts.timestamp_to_date("purchase_date"), "purchase_date not in the calendar")],
+    )
+
+
+def audit_all(raw: dict[str, DataFrame], typed: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Audit of every raw table: raw rows = typed rows + audited copies. The category the cleaning
+    adds itself is not a raw row."""
+    orders = typed["orders"]
+    items, payments, reviews = raw["staging_item_orders"], raw["staging_payments"], raw["staging_reviews"]
+    no_order = (F.col("_no_order"), "order_id not in final_orders")
+    installments = F.coalesce(F.col("num_installments"), F.lit("1")).try_cast("int")
+    return {
+        "orders": audit_orders(raw["staging_orders"]),
+        "sellers": _audit(
+            raw["staging_sellers"], ["seller_id"], ["seller_id"], _seller_rules(raw["staging_sellers"])
+        ),
+        "product_category": _audit(
+            raw["staging_product_category"], ["product_category"], ["product_category"],
+            _category_rules(raw["staging_product_category"]),
+        ),
+        "products": _audit(
+            raw["staging_products"], ["product_id"], ["product_id"],
+            _product_rules(raw["staging_products"], typed["product_category"]),
+        ),
+        "item_orders": _audit(
+            items, ["order_id", "item_id"], [c for c in items.columns if c != "freight_value"],
+            _item_rules(items, orders, typed["sellers"], typed["products"]),
+            [
+                _lost(F.col("price"), "NULL price"),
+                _lost(casts.nonzero_decimal_text("price"), "price zero or too large"),
+                _lost(casts.timestamp_to_date("shipping_limit_date"), "shipping_limit_date not in the calendar"),
+                _lost(F.col("item_id").try_cast("int"), "Incorrect item_id format"),
+            ],
+        ),
+        "customers": _audit(
+            raw["staging_customers"], ["customer_id"], ["customer_id", "customer_unique_id"],
+            _customer_rules(raw["staging_customers"], orders),
+            [(F.col("_no_order"), "customer_id not in final_orders")],
+        ),
+        "payments": _audit(
+            payments, ["order_id", "payment_sequential"], ["order_id", "payment_value"],
+            _payment_rules(payments, orders),
+            [
+                _lost(F.col("payment_value"), "NULL payment_value"),
+                no_order,
+                _lost(casts.decimal_text("payment_value"), "payment_value too large"),
+                _lost(installments, "Incorrect num_installments format"),
+            ],
+        ),
+        "reviews": _audit(
+            reviews, ["review_id", "order_id"], ["review_id", "order_id", "review_score", "post_date"],
+            _review_rules(reviews, orders),
+            [_lost(casts.timestamp_to_date("post_date"), "post_date not in the calendar")],
+        ),
+    }

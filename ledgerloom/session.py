@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,10 @@ RUNTIME_SETTINGS = {
 }
 
 
+# Stores named stage results and returns them in their stored form.
+Keep = Callable[[Mapping[str, DataFrame]], dict[str, DataFrame]]
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
@@ -53,3 +59,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Materialize independent stage results as concurrent jobs."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return dict(zip(frames, pool.map(lambda name: materialize(frames[name], name), frames), strict=True))
+
+
+def unstored(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Keep nothing: stages stay part of one plan."""
+    return dict(frames)

@@ -101,6 +101,6 @@ def payload_schema() -> T.StructType:
             T.StructField("order", order),
             T.StructField("items", T.ArrayType(items)),
             T.StructField("payments", T.ArrayType(payments)),
-            T.StructField("ingested_at", T.TimestampNTZType()),
+            T.StructField("ingested_at", T.TimestampType()),
         ]
     )

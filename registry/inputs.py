@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.plans import clean, features
-from ledgerloom.session import configure, materialize
+from ledgerloom.session import configure, materialize, materialize_all
 from ledgerloom.sources import schemas
 from registry.fixtures import FIXTURES
 
@@ -27,8 +27,13 @@ class Inputs:
     def raw(self) -> dict[str, DataFrame]:
         return {name: self.fixture(name) for name in schemas.STAGING_COLUMNS}
 
+    def request_table(self, name: str) -> DataFrame:
+        """Request tables are stored tables, not views: validation filters on many cast columns,
+        and the optimizer would repeat a view's expressions in each of them."""
+        return materialize(self.fixture(name), name)
+
     def requests(self) -> dict[str, DataFrame]:
-        return {name: self.fixture(name) for name in schemas.REQUEST_COLUMNS}
+        return materialize_all({name: self.fixture(name) for name in schemas.REQUEST_COLUMNS})
 
     # Typed tables, straight from the raw tables.
 
@@ -60,7 +65,7 @@ class Inputs:
 
     def stored(self) -> dict[str, DataFrame]:
         """All typed tables, each written once to shared storage."""
-        return clean.clean_all(self.raw(), materialize, with_sequence=False)
+        return clean.clean_all(self.raw(), materialize_all, with_sequence=False)
 
     def feature_parts(self) -> dict[str, DataFrame]:
-        return features.feature_inputs(self.stored(), materialize)
+        return features.feature_inputs(self.stored(), materialize_all)

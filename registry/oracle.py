@@ -428,7 +428,7 @@ JOIN h_merged_to_date h ON h.order_id = o.order_id AND h.seller_id = i.val_selle
 # ---- survival -----------------------------------------------------------------------------
 
 CTES["s_rows"] = """
-SELECT r.id, r.t_pred_date, r.has_second_purchase, r.risk_score,
+SELECT r.id, r.t_pred_date, r.n_orders, r.has_second_purchase, CAST(r.risk_score AS BIGINT) AS risk_score,
   coalesce(CAST(nx.d - r.t_pred_date AS INTEGER), CAST(DATE '1995-12-31' - r.t_pred_date AS INTEGER)) AS days_until_second_purchase
 FROM survival_rows r LEFT JOIN (
   SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate <= DATE '1995-12-31'

@@ -146,6 +146,17 @@ SELECT *, 1 AS copies, coalesce({_ORDER_REASON}, 'purchase_date not in the calen
 FROM staging_orders s WHERE NOT EXISTS (FROM t_orders t WHERE t.order_id = s.order_id)"""
 
 
+SQL["audit_totals"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, (SELECT count(*) FROM staging_{t}) - (SELECT count(*) FROM {c}) AS dropped_rows, "
+    f"(SELECT count(*) FROM {c}) AS typed_rows"
+    for t, c in (
+        ("orders", "t_orders"), ("sellers", "t_sellers"), ("products", "t_products"), ("item_orders", "t_items"),
+        ("customers", "t_customers"), ("payments", "t_payments"), ("reviews", "t_reviews"),
+        ("product_category", "(SELECT * FROM t_category WHERE product_category <> 'unknown')"),
+    )
+)
+
+
 def _checks() -> str:
     def unique(table: str, keys: str) -> str:
         return f"""SELECT '{table}' AS table_name, 'unique({keys})' AS check_name,
@@ -293,19 +304,19 @@ SQL["reset_tables"] = " UNION ALL ".join(
 )
 
 # ---- survival
-SQL["censor_durations"] = out("s_rows", "t_pred_date")
+SQL["censor_durations"] = out("s_rows", "t_pred_date", drop="n_orders")
 SQL["survival_target"] = """
 SELECT id, CAST(has_second_purchase AS INTEGER) AS event, CAST(CAST(days_until_second_purchase AS FLOAT) AS DOUBLE) AS duration FROM s_rows"""
 SQL["split_temporal_stratified"] = """
-SELECT id, has_second_purchase, CASE WHEN at < floor(floor(n * CAST(0.8 AS DOUBLE)) * 7 / 8) THEN 'train'
-  WHEN at < floor(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS split
-FROM (SELECT *, row_number() OVER (PARTITION BY has_second_purchase ORDER BY t_pred_date, id) - 1 AS at,
+SELECT id, has_second_purchase, CASE WHEN pos < floor(floor(n * CAST(0.8 AS DOUBLE)) * 7 / 8) THEN 'train'
+  WHEN pos < floor(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY has_second_purchase ORDER BY t_pred_date, id) - 1 AS pos,
   count(*) OVER (PARTITION BY has_second_purchase) AS n FROM s_rows)"""
 SQL["stratified_folds"] = """
 SELECT id, has_second_purchase, CAST((row_number() OVER (PARTITION BY has_second_purchase ORDER BY md5('13:' || id)) - 1) % 5 AS INTEGER) AS fold FROM s_rows"""
 SQL["permute_column"] = """
-SELECT a.id, b.risk_score FROM (SELECT id, row_number() OVER (ORDER BY id) AS at FROM s_rows) a
-JOIN (SELECT risk_score, row_number() OVER (ORDER BY md5('13:0:' || id)) AS at FROM s_rows) b USING (at)"""
+SELECT a.id, b.risk_score FROM (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM s_rows) a
+JOIN (SELECT risk_score, row_number() OVER (ORDER BY md5('13:0:' || id)) AS pos FROM s_rows) b USING (pos)"""
 SQL["person_period"] = """
 SELECT id, period, CASE WHEN has_second_purchase = 1 AND period = (days_until_second_purchase - 1) // 30 THEN 1 ELSE 0 END AS period_event
 FROM (SELECT *, unnest(range(0, (days_until_second_purchase - 1) // 30 + 1)) AS period FROM s_rows WHERE days_until_second_purchase > 0)"""

@@ -14,7 +14,7 @@ from ledgerloom.operators import concordance as conc
 from ledgerloom.operators import parents, upsert
 from ledgerloom.operators.dedupe import dedupe_latest, dedupe_total_order
 from ledgerloom.plans import checks, clean, encode, features, history, items, models, online, reject, rollups, survival
-from ledgerloom.session import materialize, new_folder
+from ledgerloom.session import materialize, materialize_all, new_folder
 from ledgerloom.sources import requests as request_source
 from ledgerloom.sources import schemas, tables
 from ledgerloom.streaming.requests import VALID_KEYS, RequestFlow, RequestStore
@@ -115,9 +115,7 @@ def sanitize_blanks(x: Inputs) -> DataFrame:
 
 
 def _encodings(x: Inputs) -> dict[str, DataFrame]:
-    return encode.encode_all(
-        {"product_category": x.categories(), "sellers": x.sellers(), "payments": x.payments()}, materialize
-    )
+    return encode.encode_all({"product_category": x.categories(), "sellers": x.sellers(), "payments": x.payments()})
 
 
 @query
@@ -284,6 +282,23 @@ def audit_orders(x: Inputs) -> DataFrame:
     return reject.audit_orders(x.fixture("staging_orders"))
 
 
+@query
+def audit_totals(x: Inputs) -> DataFrame:
+    raw, typed = x.raw(), x.stored()
+    audits = reject.audit_all(raw, typed)
+    parts = []
+    for name, audit in audits.items():
+        totals = audit.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("dropped_rows"))
+        kept = typed[name].filter("product_category <> 'unknown'") if name == "product_category" else typed[name]
+        parts.append(totals.select(F.lit(name).alias("table_name"), "dropped_rows", F.lit(0).cast("long").alias("typed_rows")))
+        parts.append(kept.agg(F.count("*").alias("typed_rows")).select(
+            F.lit(name).alias("table_name"), F.lit(0).cast("long").alias("dropped_rows"), "typed_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("table_name").agg(F.sum("dropped_rows").alias("dropped_rows"), F.sum("typed_rows").alias("typed_rows"))
+
+
 @query
 def constraint_violations(x: Inputs) -> DataFrame:
     raw = {name.removeprefix("staging_"): df for name, df in x.raw().items()}
@@ -311,7 +326,7 @@ def anti_join_left_null(x: Inputs) -> DataFrame:
 
 
 def _joined(x: Inputs) -> DataFrame:
-    encodings = _encodings(x)
+    encodings = {"category": encode.encode_category(x.categories()), "state": encode.encode_state(x.sellers())}
     return items.order_items_joined(x.items(), x.products(), x.sellers(), encodings)
 
 
@@ -465,11 +480,11 @@ def first_order_per_customer(x: Inputs) -> DataFrame:
 
 @query
 def customer_features_wide(x: Inputs) -> DataFrame:
-    return rounded(features.wide_from_typed(x.stored(), materialize), "price_std")
+    return rounded(features.wide_from_typed(x.stored(), materialize_all), "price_std")
 
 
 def _view(x: Inputs) -> DataFrame:
-    return features.view_from_typed(x.stored(), materialize)
+    return features.view_from_typed(x.stored(), materialize_all)
 
 
 @query
@@ -492,50 +507,51 @@ def align_to_model(x: Inputs) -> DataFrame:
 
 @query
 def online_orders_valid(x: Inputs) -> DataFrame:
-    return online.valid_orders(x.fixture("staging_user_orders"))
+    return online.valid_orders(x.request_table("staging_user_orders"))
 
 
 @query
 def online_orders_rejected(x: Inputs) -> DataFrame:
-    raw = x.fixture("staging_user_orders")
+    raw = x.request_table("staging_user_orders")
     return online.rejected_orders(raw, online.valid_orders(raw))
 
 
-def _checked(x: Inputs) -> dict[str, DataFrame]:
-    return online.validate(x.requests(), materialize)
+def _checked(x: Inputs, raw: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    return online.validate(raw or x.requests(), materialize_all)
 
 
 @query
 def online_payments_valid(x: Inputs) -> DataFrame:
     return online.valid_payments(
-        x.fixture("staging_user_payments"), online.valid_orders(x.fixture("staging_user_orders"))
+        x.request_table("staging_user_payments"), online.valid_orders(x.request_table("staging_user_orders"))
     )
 
 
 @query
 def online_payments_rejected(x: Inputs) -> DataFrame:
-    raw = x.fixture("staging_user_payments")
-    valid = online.valid_payments(raw, online.valid_orders(x.fixture("staging_user_orders")))
+    raw = x.request_table("staging_user_payments")
+    valid = online.valid_payments(raw, online.valid_orders(x.request_table("staging_user_orders")))
     return online.rejected_payments(raw, valid)
 
 
 @query
 def online_items_valid(x: Inputs) -> DataFrame:
     return online.valid_items(
-        x.fixture("staging_user_order_items"), online.valid_orders(x.fixture("staging_user_orders"))
+        x.request_table("staging_user_order_items"), online.valid_orders(x.request_table("staging_user_orders"))
     )
 
 
 @query
 def online_items_rejected(x: Inputs) -> DataFrame:
-    raw = x.fixture("staging_user_order_items")
-    valid = online.valid_items(raw, online.valid_orders(x.fixture("staging_user_orders")))
+    raw = x.request_table("staging_user_order_items")
+    valid = online.valid_items(raw, online.valid_orders(x.request_table("staging_user_orders")))
     return online.rejected_items(raw, valid)
 
 
 @query
 def rejected_gate(x: Inputs) -> DataFrame:
-    return online.rejected_gate(_checked(x), x.fixture("staging_user_orders"))
+    raw = x.requests()
+    return online.rejected_gate(_checked(x, raw), raw["staging_user_orders"])
 
 
 @query
@@ -588,14 +604,14 @@ def sort_null_order(x: Inputs) -> DataFrame:
 
 @query
 def upsert_by_key(x: Inputs) -> DataFrame:
-    raw = x.fixture("staging_user_orders")
+    raw = x.request_table("staging_user_orders")
     first, retry = (online.valid_orders(raw.filter(F.col("customer_city") == c)) for c in ("first", "retry"))
     return upsert.upsert_by_key(first, retry, ["request_id"])
 
 
 @query
 def retention_filter(x: Inputs) -> DataFrame:
-    return upsert.keep_recent(x.fixture("staging_user_order_items"), AS_OF, 14)
+    return upsert.keep_recent(x.request_table("staging_user_order_items"), AS_OF, 14)
 
 
 @query
