@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.plans import clean, features
 from ledgerloom.session import configure, materialize, materialize_all
 from ledgerloom.sources import schemas
-from registry.fixtures import FIXTURES
+from registry.fixtures import spark_sql
 
 SOURCES = ("customer", "supplier", "part", "orders", "lineitem")
 
@@ -22,7 +22,7 @@ class Inputs:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
     def fixture(self, name: str) -> DataFrame:
-        return self.spark.sql(FIXTURES[name])
+        return self.spark.sql(spark_sql(name))
 
     def raw(self) -> dict[str, DataFrame]:
         return {name: self.fixture(name) for name in schemas.STAGING_COLUMNS}
