@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import materialize
+
 SMALL = 20_000
 _SEPARATOR = "\x01"
 
@@ -51,14 +53,17 @@ def ordered_prefix(
     position: str = "position",
     buckets: int | None = None,
     small: int = SMALL,
+    store: bool = True,
 ) -> DataFrame:
     """Add the 0-based ``position`` of each row in its group by ``key``, and for each entry of
     ``sums`` the total over the earlier rows of the group (NULL if there are none).
 
     ``group`` columns are not NULL, ``key`` is text or a number, not NULL, and
-    unique inside its group.
+    unique inside its group. The rows are read several times and so stored first; ``store=False``
+    leaves that out for a table that is stored already.
     """
     sums = dict(sums or {})
+    df = materialize(df, "ordered") if store else df
     n = buckets or min(4096, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     total = df.count()
 

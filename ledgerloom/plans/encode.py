@@ -10,7 +10,7 @@ from ledgerloom.operators.ordered import ordered_prefix
 
 
 def encode_keys(keys: DataFrame, column: str, code: str) -> DataFrame:
-    """1-based code of each distinct key in binary text order, NULL last."""
+    """1-based code of each distinct key in binary text order, NULL last. ``keys`` is distinct."""
     ranked = ordered_prefix(keys.withColumn("_key", nulls_last_text(column)), [], "_key", position="_at")
     return ranked.withColumn(code, (F.col("_at") + 1).cast("int")).drop("_key", "_at")
 

@@ -56,7 +56,8 @@ def upsert_history(base: DataFrame, online: DataFrame) -> DataFrame:
 
 
 def seller_history_to_date(history: DataFrame, strictly_before_day: bool = False) -> DataFrame:
-    """Averages and volumes of the seller's rows before each row, by (date, order).
+    """Averages and volumes of the seller's rows before each row, by (date, order). The history
+    should be a stored table: it is read several times.
 
     ``strictly_before_day=True`` leaves out other orders of the same day.
     """
@@ -76,6 +77,7 @@ def seller_history_to_date(history: DataFrame, strictly_before_day: bool = False
                 "_items": F.col("num_order_items"),
             },
             position="seller_order_volume",
+            store=False,
         )
     return totals.select(
         "order_id",

@@ -12,7 +12,7 @@ from ledgerloom.functions import casts
 from ledgerloom.operators.dedupe import dedupe_latest
 from ledgerloom.operators.rules import Rule, first_reason
 from ledgerloom.plans import features, history, items, rollups
-from ledgerloom.session import Keep, unstored
+from ledgerloom.session import Keep, materialize, unstored
 from ledgerloom.sources.schemas import REQUEST_COLUMNS
 
 # Defaults for missing text.
@@ -276,6 +276,7 @@ def request_features(
     payments = payments.drop("payment_type").withColumnRenamed("order_id", "request_id")
     sellers = passed["items"].select("seller_id").distinct()
     scoped = seller_history.join(sellers, "seller_id", "left_semi").select(*seller_history.columns)
+    scoped = materialize(scoped, "history_scoped")
     to_date = history.seller_history_to_date(scoped, strictly_before_day).withColumnRenamed(
         "seller_id", "val_seller_id"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import curves
 from ledgerloom.operators.ordered import ordered_prefix
+from ledgerloom.session import materialize
 
 # Fixed value: last day of the study.
 STUDY_END = date(2018, 9, 3)
@@ -34,8 +35,9 @@ def split_temporal_stratified(df: DataFrame, key: str) -> DataFrame:
     There are only two classes, so positions come from range buckets, not from one window per
     class. ``key`` breaks ties of the same day.
     """
+    df = materialize(df, "split")
     keyed = df.withColumn("_key", F.concat(F.col("t_pred_date").cast("string"), F.col(key).cast("string")))
-    placed = ordered_prefix(keyed, [EVENT], "_key", position="_at")
+    placed = ordered_prefix(keyed, [EVENT], "_key", position="_at", store=False)
     sizes = df.groupBy(EVENT).agg(F.count("*").alias("_n"))
     kept = F.floor(F.col("_n") * F.lit(0.8))
     train = F.floor(kept * F.lit(7 / 8))
@@ -53,9 +55,12 @@ def stratified_folds(df: DataFrame, key: str, k: int = 5, seed: int = 13) -> Dat
 def permute_column(df: DataFrame, key: str, column: str, seed: int, repetition: int) -> DataFrame:
     """Replace ``column`` by a seeded permutation of its values: the i-th row by key gets the
     value of the i-th row in hashed order."""
+    df = materialize(df, "permute")
     salt = F.concat(F.lit(f"{seed}:{repetition}:"), F.col(key).cast("string"))
-    places = ordered_prefix(df.withColumn("_key", F.col(key).cast("string")), [], "_key", position="_at").drop("_key")
-    drawn = ordered_prefix(df.select(F.md5(salt).alias("_key"), F.col(column).alias("_value")), [], "_key", position="_at")
+    places = df.withColumn("_key", F.col(key).cast("string"))
+    places = ordered_prefix(places, [], "_key", position="_at", store=False).drop("_key")
+    drawn = df.select(F.md5(salt).alias("_key"), F.col(column).alias("_value"))
+    drawn = ordered_prefix(drawn, [], "_key", position="_at", store=False)
     swapped = places.join(drawn.select("_at", "_value"), "_at")
     return swapped.withColumn(column, F.col("_value")).select(*df.columns)
 

@@ -565,7 +565,7 @@ def _served(x: Inputs) -> tuple[dict[str, DataFrame], DataFrame]:
     passed = online.pass_gate(_checked(x))
     merged = history.upsert_history(parts["history"], history.online_history(passed["orders"], passed["items"]))
     return parts, materialize(
-        online.request_features(passed, parts["encodings"], materialize(merged, "history_merged")), "request_features"
+        online.request_features(passed, parts["encodings"], merged), "request_features"
     )
 
 

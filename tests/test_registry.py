@@ -14,7 +14,7 @@ CHECKED = [
     "scan_csv_staging", "option_lists", "cast_price_nonzero", "clean_item_orders", "clean_payments", "rejected_item_orders",
     "audit_totals", "constraint_violations", "seller_history_to_date", "payment_rollup", "review_rollup", "order_targets",
     "item_order_features", "customer_features_wide", "online_items_rejected", "rejected_gate", "online_features",
-    "train_serve_parity", "split_temporal_stratified", "stratified_folds", "c_index", "kaplan_meier", "survival_summaries",
+    "split_temporal_stratified", "stratified_folds", "c_index", "kaplan_meier", "survival_summaries",
 ]
 
 
