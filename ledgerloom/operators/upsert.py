@@ -17,9 +17,10 @@ def upsert_by_key(
 ) -> DataFrame:
     """Target rows with matching updates applied, plus new rows.
 
-    Without ``update_columns`` the update row replaces the whole target row. With it only those
-    columns change on a match and the others keep the target value. ``updates`` holds each key
-    once; missing columns are NULL in new rows.
+    Without ``update_columns`` the update rows of a key replace all target rows of it; with the
+    request as the only key that also removes stale rows of a resubmitted request. With
+    ``update_columns`` only those columns change on a match, the others keep the target value, and
+    ``updates`` holds each key once. Columns missing from ``updates`` are NULL in new rows.
     """
     if update_columns is None:
         kept = target.join(updates.select(*keys), list(keys), "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import casts
-from ledgerloom.operators.dedupe import dedupe_latest
+from ledgerloom.operators.dedupe import dedupe_latest, first_per_key
 from ledgerloom.operators.rules import Rule, first_reason
 from ledgerloom.plans import features, history, items, rollups
 from ledgerloom.session import Keep, materialize, unstored
@@ -249,6 +249,14 @@ def pass_gate(checked: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def order_conflicts(orders: DataFrame) -> DataFrame:
+    """Requests that name an order already taken by an earlier request: an order belongs to one
+    request."""
+    owners = first_per_key(orders, ["order_id"], [F.col("ingested_at").asc_nulls_last(), F.col("request_id").asc()])
+    late = orders.join(owners.select("request_id"), "request_id", "left_anti")
+    return late.select("request_id", "order_id", F.lit("order_id belongs to another request").alias("rejected_reason"))
+
+
 # ---- features ---------------------------------------------------------------------------
 
 
@@ -267,8 +275,8 @@ def request_features(
 ) -> DataFrame:
     """One feature row per request; the history must already hold the requests' own rows.
 
-    Only the history of sellers seen in the requests is windowed. ``typed=True`` keeps two
-    decimals in averages, like the serving table of the training-time comparison.
+    Only the history of sellers seen in the requests is windowed. ``typed=True`` rounds amounts and
+    averages to two decimals.
     """
     lines = items.online_items_joined(_by_request(passed["items"]), encodings)
     item_features = items.item_order_features(lines).withColumnRenamed("order_id", "request_id")

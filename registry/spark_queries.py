@@ -842,4 +842,4 @@ def stream_score(x: Inputs) -> DataFrame:
         "request_id string, risk_score double, median_days_until_second_purchase double, "
         "restricted_mean_survival_days double, note string"
     )
-    return store.current("scores", schema, ["request_id"])
+    return store.of_last_batch("scores", schema)

@@ -87,6 +87,11 @@ def test_gate(spark):
     assert [rows(passed[n].select("request_id")) for n in ("orders", "items", "payments")] == [[("r1",)]] * 3
 
 
+def test_order_belongs_to_one_request(spark):
+    got = checked(spark, [order("r2", at=T2), order("r1"), order("r3", "o3")], [], [])
+    assert rows(online.order_conflicts(got["orders"]).select("request_id")) == [("r2",)]
+
+
 def encodings(spark):
     return {
         "category": spark.createDataFrame([("toys", "toys", 1)], "product_category string, product_category_english string, product_category_encoding int"),

@@ -101,6 +101,12 @@ def test_upsert(spark):
     assert again.count() == 3
 
 
+def test_replacing_a_request_removes_its_stale_rows(spark):
+    target = spark.createDataFrame([("r1", 1), ("r1", 2), ("r2", 1)], "request_id string, item int")
+    again = spark.createDataFrame([("r1", 1), ("r1", 7)], "request_id string, item int")
+    assert rows(upsert.upsert_by_key(target, again, ["request_id"]), "request_id", "item") == [("r1", 1), ("r1", 7), ("r2", 1)]
+
+
 def test_retention_keeps_unknown_age(spark):
     df = spark.createDataFrame([(1, datetime(2020, 1, 1)), (2, datetime(2020, 1, 20)), (3, None)], "k int, ingested_at timestamp")
     kept = upsert.keep_recent(df, datetime(2020, 1, 31), 14)
