@@ -159,9 +159,12 @@ def clean_reviews(raw: DataFrame, orders: DataFrame) -> DataFrame:
     return keep_with_parent(typed, "order_id", orders)
 
 
-def clean_all(raw: dict[str, DataFrame], keep: Keep = unstored, with_sequence: bool = True) -> dict[str, DataFrame]:
+def clean_all(
+    raw: dict[str, DataFrame], keep: Keep = unstored, with_sequence: bool = True, with_reviews: bool = True
+) -> dict[str, DataFrame]:
     """All typed tables. ``keep`` stores tables (for example on shared storage) so that later
-    stages read them instead of cleaning again."""
+    stages read them instead of cleaning again. The purchase-time view needs neither the payment
+    sequence nor the reviews."""
     categories = clean_product_category(raw["staging_product_category"])
     parents = keep(
         {
@@ -172,11 +175,11 @@ def clean_all(raw: dict[str, DataFrame], keep: Keep = unstored, with_sequence: b
         }
     )
     orders, products, sellers = parents["orders"], parents["products"], parents["sellers"]
-    return parents | keep(
-        {
-            "item_orders": clean_item_orders(raw["staging_item_orders"], orders, sellers, products),
-            "customers": clean_customers(raw["staging_customers"], orders),
-            "payments": clean_payments(raw["staging_payments"], orders, with_sequence),
-            "reviews": clean_reviews(raw["staging_reviews"], orders),
-        }
-    )
+    children = {
+        "item_orders": clean_item_orders(raw["staging_item_orders"], orders, sellers, products),
+        "customers": clean_customers(raw["staging_customers"], orders),
+        "payments": clean_payments(raw["staging_payments"], orders, with_sequence),
+    }
+    if with_reviews:
+        children["reviews"] = clean_reviews(raw["staging_reviews"], orders)
+    return parents | keep(children)

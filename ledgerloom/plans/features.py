@@ -187,16 +187,17 @@ def trainable(df: DataFrame) -> DataFrame:
 
 
 def feature_inputs(typed: dict[str, DataFrame], keep: Keep = unstored) -> dict:
-    """The inputs of the wide table from the typed tables."""
+    """The inputs of the wide table from the typed tables (without reviews if they are not there)."""
     base = history.seller_history_base(typed["item_orders"], typed["orders"])
     frozen = keep({**encode.encode_all(typed), "history": base})
     base, encodings = frozen.pop("history"), frozen
     joined = items.order_items_joined(typed["item_orders"], typed["products"], typed["sellers"], encodings)
     joined = keep({"items_joined": joined})["items_joined"]
+    reviews = {"reviews": rollups.review_rollup(typed["reviews"], typed["orders"])} if "reviews" in typed else {}
     return {
+        **reviews,
         "targets": order_targets(typed["orders"], typed["customers"]),
         "payments": rollups.payment_rollup(typed["payments"], encodings["payment_type"]),
-        "reviews": rollups.review_rollup(typed["reviews"], typed["orders"]),
         "item_features": items.item_order_features(joined),
         "history_to_date": history.seller_history_to_date(base),
         "encodings": encodings,

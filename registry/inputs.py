@@ -63,9 +63,9 @@ class Inputs:
     def reviews(self) -> DataFrame:
         return clean.clean_reviews(self.fixture("staging_reviews"), self.orders())
 
-    def stored(self) -> dict[str, DataFrame]:
+    def stored(self, with_reviews: bool = True) -> dict[str, DataFrame]:
         """All typed tables, each written once to shared storage."""
-        return clean.clean_all(self.raw(), materialize_all, with_sequence=False)
+        return clean.clean_all(self.raw(), materialize_all, with_sequence=False, with_reviews=with_reviews)
 
     def feature_parts(self) -> dict[str, DataFrame]:
-        return features.feature_inputs(self.stored(), materialize_all)
+        return features.feature_inputs(self.stored(with_reviews=False), materialize_all)

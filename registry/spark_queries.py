@@ -484,7 +484,7 @@ def customer_features_wide(x: Inputs) -> DataFrame:
 
 
 def _view(x: Inputs) -> DataFrame:
-    return features.view_from_typed(x.stored(), materialize_all)
+    return features.view_from_typed(x.stored(with_reviews=False), materialize_all)
 
 
 @query
