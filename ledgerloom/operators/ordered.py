@@ -1,9 +1,10 @@
 """Row positions and running sums inside groups of any size.
 
-A plain window puts a whole group into one task. Here rows are cut into range buckets of the
-sort key, sums inside a (group, bucket) come from a window that sees about 1/n of all rows at
-most, and the sums of earlier buckets come from the small bucket totals. Results are exact for
-any choice of bucket bounds; the bounds only balance the work.
+A plain window puts a whole group into one task. Here rows are range-partitioned by (group, key),
+so a group is cut into as many pieces as its size needs. Sums inside a piece come from a window
+over that piece, and the sums of earlier pieces come from the small piece totals. Results are
+exact for any choice of range bounds; the bounds only balance the work. The same plan runs for
+every size.
 """
 
 from __future__ import annotations
@@ -15,34 +16,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import materialize
 
-SMALL = 20_000
-_SEPARATOR = "\x01"
+ROWS_PER_PIECE = 100_000
 
 
-def sample_keys(df: DataFrame, group: Sequence[str], key: str, k: int, total: int) -> list:
-    """Keys of about ``k`` of the ``total`` rows, drawn by row hash.
-
-    Every task returns only its drawn rows, so about ``k`` values in all reach the driver.
-    """
-    drawn = F.pmod(F.xxhash64(*group, key), F.lit(1 << 40)) < int((1 << 40) * min(1.0, k / total))
-    return sorted(row["_k"] for row in df.filter(drawn).select(F.col(key).alias("_k")).collect())
-
-
-def equal_depth_bounds(keys: Sequence, n: int) -> list:
-    drawn = {keys[len(keys) * i // n] for i in range(1, n)}
-    return sorted(b for b in drawn if not (isinstance(b, str) and _SEPARATOR in b))
-
-
-def range_bucket(key: Column, key_type: str, bounds: Sequence) -> Column:
-    """Number of bounds at or below the key, by binary search in a constant sorted array."""
-    texts = [b if isinstance(b, str) else repr(b) for b in bounds]
-    array = F.split(F.lit(_SEPARATOR.join(texts)), _SEPARATOR).cast(f"array<{key_type}>")
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-
-    def advance(at, step):
-        return F.when(F.get(array, at + step - 1) <= key, at + step).otherwise(at)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+def pieces_of(df: DataFrame, rows_per_piece: int = ROWS_PER_PIECE) -> int:
+    """Number of range partitions: the counted rows over the row target, no upper bound, and at
+    least one per shuffle partition."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-df.count() // rows_per_piece))
 
 
 def ordered_prefix(
@@ -51,51 +32,39 @@ def ordered_prefix(
     key: str,
     sums: Mapping[str, Column] | None = None,
     position: str = "position",
-    buckets: int | None = None,
-    small: int = SMALL,
+    pieces: int | None = None,
     store: bool = True,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add the 0-based ``position`` of each row in its group by ``key``, and for each entry of
     ``sums`` the total over the earlier rows of the group (NULL if there are none).
 
-    ``group`` columns are not NULL, ``key`` is text or a number, not NULL, and
-    unique inside its group. The rows are read several times and so stored first; ``store=False``
-    leaves that out for a table that is stored already.
+    ``group`` columns and ``key`` are not NULL; rows of one key are ordered by ``ties``. Rows of
+    one (group, key) share a piece, so a key must not repeat without bound. The rows are read
+    several times and so stored first; ``store=False`` leaves that out for a stored table.
     """
     sums = dict(sums or {})
     df = materialize(df, "ordered") if store else df
-    n = buckets or min(4096, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    total = df.count()
-
-    work = df
-    for name, value in sums.items():
-        work = work.withColumn(name, value)
-    if total <= small:
-        # Counted, not assumed: all rows together fit one task.
-        window = Window.partitionBy(*group).orderBy(key)
-        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
-        work = work.withColumn(position, (F.row_number().over(window) - 1).cast("long"))
-        return work.withColumns({s: F.sum(s).over(earlier) for s in sums})
+    n = pieces or pieces_of(df)
+    placed = df.withColumns(sums).repartitionByRange(n, *group, key) if sums else df.repartitionByRange(n, *group, key)
+    # Range bounds come from a sample; the stored piece number stays the same if a task is retried.
+    placed = materialize(placed.withColumn("_piece", F.spark_partition_id()), "pieces")
 
-    bounds = equal_depth_bounds(sample_keys(df, group, key, max(1024, 32 * n), total), n)
-    work = work.withColumn("_bucket", range_bucket(F.col(key), df.schema[key].dataType.simpleString(), bounds))
-    totals = work.groupBy(*group, "_bucket").agg(
-        F.count("*").alias("_n"), *(F.sum(s).alias(f"_{s}") for s in sums)
-    )
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*group, "_piece").agg(F.count("*").alias("_n"), *(F.sum(s).alias(f"_{s}") for s in sums))
+    before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *group,
-        "_bucket",
+        "_piece",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
         *(F.sum(f"_{s}").over(before).alias(f"_{s}") for s in sums),
     )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(key)
+    inside = Window.partitionBy(*group, "_piece").orderBy(key, *ties)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    work = work.withColumn(position, F.row_number().over(inside) - 1)
-    work = work.withColumns({s: F.sum(s).over(earlier) for s in sums})
-    work = work.join(offsets, [*group, "_bucket"])
+    work = placed.withColumn(position, F.row_number().over(inside) - 1)
+    work = work.withColumns({s: F.sum(s).over(earlier) for s in sums}) if sums else work
+    work = work.join(offsets, [*group, "_piece"])
     work = work.withColumn(position, (F.col(position) + F.col("_n")).cast("long"))
-    work = work.withColumns(
-        {s: F.when(F.col(s).isNull(), F.col(f"_{s}")).otherwise(F.col(s) + F.coalesce(f"_{s}", F.lit(0))) for s in sums}
-    )
-    return work.drop("_bucket", "_n", *(f"_{s}" for s in sums))
+    for s in sums:
+        inner, outer = F.col(s), F.col(f"_{s}")
+        work = work.withColumn(s, F.when(inner.isNull(), outer).otherwise(inner + F.coalesce(outer, F.lit(0))))
+    return work.drop("_piece", "_n", *(f"_{s}" for s in sums))
