@@ -18,30 +18,36 @@ import zlib
 import numpy as np
 
 MAGIC = b"TIDC1\0"
-_CTX2, _CTX1 = 12, 11  # bits of the context tables
+_CTX = 11  # bits of the context tables
 _LEVELS = 4  # confidences 0 .. 3
 _MIX_BITS, _FREQ_BITS = 14, 20
+_RATE = 5  # a weight moves by 1/32 of its error
 _LOW = np.uint64((1 << 32) - 1)
 _U16, _U32 = np.uint64(16), np.uint64(32)
-_LEAST_BLOCK, _MOST_BLOCK, _LANES = 256, 4096, 768
+_LEAST_BLOCK, _MOST_BLOCK, _LANES = 256, 4096, 1536
+# Next confidence after (confidence, hit).
+_TRUST = np.array([(c >> 1, min(c + 1, _LEVELS - 1)) for c in range(_LEVELS)], np.int32).reshape(-1)
+# Where the border of a part moves when the id lies before (1) or behind it (0).
+_FIRST = np.array([32, (1 << _MIX_BITS) - 96], np.int32)
+_SECOND = np.array([96, (1 << _MIX_BITS) - 32], np.int32)
 
 
 class _Models:
     """Predictions of ``k`` blocks over an alphabet of ``n`` ids."""
 
-    def __init__(self, k: int, n: int, steps: int) -> None:
+    def __init__(self, k: int, n: int) -> None:
         self.k, self.n = k, n
-        self.rows = np.arange(k)
-        self.at2, self.at1 = self.rows << _CTX2, self.rows << _CTX1
-        self.guess2, self.trust2 = np.zeros(k << _CTX2, np.int32), np.zeros(k << _CTX2, np.int8)
-        self.guess1, self.trust1 = np.zeros(k << _CTX1, np.int32), np.zeros(k << _CTX1, np.int8)
-        # Weights per block and confidence pair: hits of order 2, of order 1, and neither.
-        self.weights = np.ones((k * _LEVELS * _LEVELS, 3), np.float32)
-        self.mix_at = self.rows * (_LEVELS * _LEVELS)
+        rows = np.arange(k)
+        self.table_at = rows << _CTX
+        # A guessed id and its confidence share one number: id * 4 + confidence.
+        self.table2, self.table1 = np.zeros(k << _CTX, np.int32), np.zeros(k << _CTX, np.int32)
+        # The mixed range per block and pair of confidences: borders of the first two parts.
+        self.mix_at = rows * (_LEVELS * _LEVELS)
+        self.first = np.full(k * _LEVELS * _LEVELS, (1 << _MIX_BITS) // 4, np.int32)
+        self.second = np.full(k * _LEVELS * _LEVELS, (1 << _MIX_BITS) // 3, np.int32)
         self.counts = np.zeros(k * n, np.int32)
-        self.base = self.rows * n
-        self.cum_base = self.rows * (n + 1)
-        self.cum = np.empty((k, n + 1), np.int64)
+        self.base, self.cum_base = rows * n, rows * (n + 1)
+        self.cum = np.zeros(k * (n + 1), np.int32)
         self.prev1, self.prev2 = np.zeros(k, np.int64), np.zeros(k, np.int64)
         self.step, self.refresh = 0, 32
         self.refresh_order0()
@@ -49,40 +55,46 @@ class _Models:
     def refresh_order0(self) -> None:
         """Frequencies in proportion to the counts so far; every id keeps at least one."""
         counts = self.counts.reshape(self.k, self.n)
-        total = counts.sum(axis=1, keepdims=True)
         room = (1 << _FREQ_BITS) - self.n
         # New ids grow rare as a block goes on, so the even part shrinks.
-        even = max(1, min(8, 32768 // (self.step + 1024))) if self.step else 1
-        scaled = (counts * 32 + even).astype(np.float64) * (room / (total * 32 + even * self.n))
-        self.cum[:, 0] = 0
-        np.cumsum(scaled.astype(np.int64) + 1, axis=1, out=self.cum[:, 1:])
+        even = max(1, min(8, 32768 // (self.step + 1024)))
+        # All blocks but a shorter last one have as many counts as steps.
+        scale = np.full((self.k, 1), room / (32 * self.step + even * self.n))
+        scaled = ((counts * 32 + even) * scale).astype(np.int32)
+        np.cumsum(scaled + 1, axis=1, dtype=np.int32, out=self.cum.reshape(self.k, self.n + 1)[:, 1:])
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Guesses of order 2 and 1 and the borders of the first two parts, of the first k blocks."""
-        p1, p2 = self.prev1[:k], self.prev2[:k]
-        self.slot1 = self.at1[:k] + ((p1 * 40503 >> 4) & ((1 << _CTX1) - 1))
-        self.slot2 = self.at2[:k] + ((p1 * 40503 + p2 * 2654435 >> 5) & ((1 << _CTX2) - 1))
-        self.mix = self.mix_at[:k] + self.trust2[self.slot2] * _LEVELS + self.trust1[self.slot1]
-        w = self.weights[self.mix]
-        unit = ((1 << _MIX_BITS) - 3) / (w[:, 0] + w[:, 1] + w[:, 2])
-        first = (w[:, 0] * unit).astype(np.int64) + 1
-        second = first + (w[:, 1] * unit).astype(np.int64) + 1
-        return self.guess2[self.slot2], self.guess1[self.slot1], first, second
-
-    def update(self, k: int, ids: np.ndarray, part: np.ndarray) -> None:
-        self.weights[self.mix, part] += 1
-        for guess, trust, slot in ((self.guess2, self.trust2, self.slot2), (self.guess1, self.trust1, self.slot1)):
-            right = guess[slot] == ids
-            was = trust[slot]
-            trust[slot] = np.where(right, np.minimum(was + 1, _LEVELS - 1), was >> 1)
-            guess[slot] = ids
+        one = self.prev1[:k] * 40503
+        self.slot1 = self.table_at[:k] + (one >> 4 & ((1 << _CTX) - 1))
+        self.slot2 = self.table_at[:k] + (one + self.prev2[:k] * 2654435 >> 5 & ((1 << _CTX) - 1))
+        entry2, entry1 = self.table2[self.slot2], self.table1[self.slot1]
+        self.trust2, self.trust1 = entry2 & 3, entry1 & 3
+        self.mix = self.mix_at[:k] + (self.trust2 * _LEVELS + self.trust1)
+        self.border1 = self.first[self.mix]
+        self.border2 = np.maximum(self.second[self.mix], self.border1 + 1)
+        return entry2 >> 2, entry1 >> 2, self.border1, self.border2
+
+    def update(self, k: int, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray) -> None:
+        """Learn the ids; ``right`` says whether the guess of an order was right."""
+        entry = ids << 2
+        self.table2[self.slot2] = entry | _TRUST[self.trust2 * 2 + right2]
+        self.table1[self.slot1] = entry | _TRUST[self.trust1 * 2 + right1]
+        self.first[self.mix] = self.border1 + (_FIRST[right2.view(np.int8)] - self.border1 >> _RATE)
+        self.second[self.mix] = self.border2 + (_SECOND[(right2 | right1).view(np.int8)] - self.border2 >> _RATE)
         self.counts[self.base[:k] + ids] += 1
         self.prev2[:k] = self.prev1[:k]
         self.prev1[:k] = ids
         self.step += 1
         if self.step == self.refresh:
             self.refresh_order0()
-            self.refresh += max(32, min(self.refresh, 1024))
+            self.refresh *= 3
+
+
+def _parts(right2: np.ndarray, right1: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the part of the range that holds the id."""
+    start = np.where(right2, 0, np.where(right1, first, second))
+    return start, np.where(right2, first, np.where(right1, second, 1 << _MIX_BITS)) - start
 
 
 class _Writer:
@@ -98,7 +110,7 @@ class _Writer:
         low, width = self.low[rows] + unit * start.astype(np.uint64), unit * size.astype(np.uint64)
         short = np.flatnonzero(width <= _LOW)
         if len(short):
-            at = np.arange(len(self.used))[rows][short]
+            at = short if isinstance(rows, slice) else rows[short]
             self.words[at, self.used[at]] = low[short] >> _U32
             self.used[at] += 1
             low[short] = (low[short] & _LOW) << _U16
@@ -137,7 +149,7 @@ class _Reader:
         code, width = self.code[rows] - self.unit * start.astype(np.uint64), self.unit * size.astype(np.uint64)
         short = np.flatnonzero(width <= _LOW)
         if len(short):
-            at = np.arange(len(self.used))[rows][short]
+            at = short if isinstance(rows, slice) else rows[short]
             # A damaged block may ask for more words than it has; its checksum will not hold.
             word = self.words[at, np.minimum(self.used[at], self.words.shape[1] - 1)]
             code[short] = code[short] << _U16 | word
@@ -155,9 +167,9 @@ def encode(ids: np.ndarray) -> bytes:
     head = MAGIC + struct.pack("<QIII", len(ids), size, k, len(alphabet)) + alphabet.astype("<u4").tobytes()
     if not k:
         return head
-    grid = np.zeros((k, size), np.int64)
+    grid = np.zeros((k, size), np.int32)
     grid.reshape(-1)[: len(ids)] = coded
-    models, out = _Models(k, len(alphabet), size), _Writer(k, size)
+    models, out = _Models(k, len(alphabet)), _Writer(k, size)
     tail = len(ids) - (k - 1) * size  # only the last block may be shorter
     columns = np.ascontiguousarray(grid.T)
     for t in range(size):
@@ -166,17 +178,14 @@ def encode(ids: np.ndarray) -> bytes:
             break
         now = columns[t, :n]
         guess2, guess1, first, second = models.predict(n)
-        part = np.where(guess2 == now, 0, np.where(guess1 == now, 1, 2))
-        start = np.where(part == 0, 0, np.where(part == 1, first, second))
-        stop = np.where(part == 0, first, np.where(part == 1, second, 1 << _MIX_BITS))
-        out.put(slice(0, n), start, stop - start, _MIX_BITS)
-        rest = np.flatnonzero(part == 2)
+        right2, right1 = guess2 == now, guess1 == now
+        out.put(slice(0, n), *_parts(right2, right1, first, second), _MIX_BITS)
+        rest = np.flatnonzero(~(right2 | right1))
         if len(rest):
             at = models.cum_base[rest] + now[rest]
-            cum = models.cum.reshape(-1)
-            start = cum[at]
-            out.put(rest, start, cum[at + 1] - start, _FREQ_BITS)
-        models.update(n, now, part)
+            start = models.cum[at]
+            out.put(rest, start, models.cum[at + 1] - start, _FREQ_BITS)
+        models.update(n, now, right2, right1)
     blocks = out.finish()
     sums = [zlib.crc32(ids[i * size : (i + 1) * size].tobytes()) for i in range(k)]
     return head + b"".join(struct.pack("<II", c, len(b)) for c, b in zip(sums, blocks)) + b"".join(blocks)
@@ -199,8 +208,8 @@ def decode(data: bytes) -> np.ndarray:
     for length in heads[:, 1].tolist():
         parts.append(data[at : at + length])
         at += length
-    source, models = _Reader(parts), _Models(k, n, size)
-    columns = np.zeros((size, k), np.int64)
+    source, models = _Reader(parts), _Models(k, n)
+    columns = np.zeros((size, k), np.int32)
     tail = total - (k - 1) * size
     for t in range(size):
         m = k if t < tail else k - 1
@@ -208,15 +217,12 @@ def decode(data: bytes) -> np.ndarray:
             break
         guess2, guess1, first, second = models.predict(m)
         value = source.peek(slice(0, m), _MIX_BITS)
-        part = (value >= first).astype(np.int64) + (value >= second)
-        start = np.where(part == 0, 0, np.where(part == 1, first, second))
-        stop = np.where(part == 0, first, np.where(part == 1, second, 1 << _MIX_BITS))
-        source.take(slice(0, m), start, stop - start)
-        now = np.where(part == 0, guess2, guess1).astype(np.int64)
-        rest = np.flatnonzero(part == 2)
+        in_first, in_second = value < first, value < second
+        source.take(slice(0, m), *_parts(in_first, in_second, first, second))
+        now = np.where(in_first, guess2, guess1)
+        rest = np.flatnonzero(~in_second)
         if len(rest):
-            cum = models.cum.reshape(-1)
-            base = models.cum_base[rest]
+            cum, base = models.cum, models.cum_base[rest]
             value = source.peek(rest, _FREQ_BITS)
             low = np.zeros(len(rest), np.int64)
             for step in (1 << i for i in reversed(range(max(1, n.bit_length())))):
@@ -226,7 +232,7 @@ def decode(data: bytes) -> np.ndarray:
             start = cum[base + low]
             source.take(rest, start, cum[base + low + 1] - start)
             now[rest] = low
-        models.update(m, now, part)
+        models.update(m, now, guess2 == now, guess1 == now)
         columns[t, :m] = now
     ids = alphabet[np.ascontiguousarray(columns.T).reshape(-1)[:total]].astype(np.uint32)
     for i, checksum in enumerate(heads[:, 0].tolist()):
