@@ -100,7 +100,10 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iter
 
 
 def spanning_forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join two parts: at most n - 1 pairs with the same connected parts."""
+    """(first member, member) of every connected part: at most n - 1 edges with the same parts.
+
+    Parts that meet in several groups give mostly the same edges, as each hangs on its first member.
+    """
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -109,13 +112,11 @@ def spanning_forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int,
             x = parent[x]
         return x
 
-    kept = []
     for a, b in pairs:
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+    return [(r, i) for i in range(n) if (r := root(i)) != i]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
