@@ -35,6 +35,7 @@ TARGET_RECALL = 0.99
 BUCKET = 64  # classes compared by brute force without a further split
 LEVELS = 5
 BLOCK = 512  # classes of a block of a large bucket
+FILTER_BITS = 1 << 26  # 8 MB; texts of other classes need not move to the exact comparison
 
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("sketch", pa.binary())])
 _PATHS = pa.schema([("path", pa.int64()), ("class", pa.binary())])
@@ -188,17 +189,50 @@ def candidate_links(classes: DataFrame, runs: list[int], threshold: float) -> Da
     return met.select(*keys, "_block", "class", "sketch").mapInArrow(_brute_force(threshold - SLACK), "a binary, b binary").distinct()
 
 
-def _set_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
-    for batch in batches:
-        sets = [np.unique(shingles(hasher.hashes(text), WORDS)).tobytes() for text in utf8(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sets, pa.binary())], schema=_SETS)
+def _places(digests: list[bytes]) -> np.ndarray:
+    """Two bits of the filter per digest."""
+    heads = np.frombuffer(b"".join(d[:8] for d in digests), np.uint64)
+    return np.stack([heads % np.uint64(FILTER_BITS), (heads >> np.uint64(32)) % np.uint64(FILTER_BITS)], axis=1).astype(np.int64)
 
 
-def _with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [class_of(text)[0] for text in utf8(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), batch.column(0)], names=["class", "text"])
+def class_filter(members: DataFrame) -> np.ndarray:
+    """Bit set of FILTER_BITS bits, whatever the number of classes: which digests may be members.
+
+    With very many members it fills up and lets more texts pass, which the join after it sorts out.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            if batch.num_rows:
+                bits[_places(batch.column(0).to_pylist()).reshape(-1)] = True
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["word", "bits"])
+
+    marked = members.select("class").mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = marked.toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return words
+
+
+def _sets_of_members(words: np.ndarray):
+    """Task that turns the texts whose class may be a member into sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for batch in batches:
+            found = [(d, clean) for d, clean in map(class_of, utf8(batch.column(0))) if d]
+            if not found:
+                continue
+            places = _places([d for d, _ in found])
+            passed = (words[places >> 6] >> (places & 63) & 1).all(axis=1)
+            kept = [row for row, ok in zip(found, passed.tolist()) if ok]
+            sets = [np.unique(shingles(hasher.hashes(clean), WORDS)).tobytes() for _, clean in kept]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.binary()), pa.array(sets, pa.binary())], schema=_SETS)
+
+    return run
 
 
 def jaccard_linked(threshold: float):
@@ -270,10 +304,9 @@ def join_near_texts(documents: DataFrame, threshold: float = THRESHOLD, target:
 
     members = parts.select(F.col("node").alias("class"), F.col("component").alias("part")).join(classes.select("class", "copies"), "class")
     members = materialize(members, "members")
-    texts = documents.select(F.col("text")).mapInArrow(_with_class, "class binary, text string").filter("class is not null")
-    held = texts.join(members.select("class"), "class", "left_semi")
-    # One text of each class, found without moving the others: copies shrink map-side.
-    sets = held.mapInArrow(_set_of, "class binary, payload binary").groupBy("class").agg(F.min("payload").alias("payload"))
+    # Only texts that pass the filter move; copies of a text shrink map-side.
+    sets = documents.select("text").mapInArrow(_sets_of_members(class_filter(members)), "class binary, payload binary")
+    sets = sets.groupBy("class").agg(F.min("payload").alias("payload"))
     ready = members.join(sets, "class").select("part", F.col("class").alias("node"), "copies", "payload")
     exact = materialize(compare_parts(ready, jaccard_linked(threshold), 256), "exact")
 
