@@ -68,15 +68,21 @@ def permute_column(df: DataFrame, key: str, column: str, seed: int, repetition:
 def person_period(df: DataFrame, width: int = 30, horizon: int | None = None) -> DataFrame:
     """One row per person and period at risk; ``period_event`` is 1 in the period of the event.
 
-    Rows without a positive duration are left out. ``horizon`` (days) ends the follow-up.
+    Day 0 belongs to the first period. Negative durations have no period at risk and are left
+    out; ``negative_durations`` lists them. ``horizon`` (days) ends the follow-up.
     """
     limit = F.col(DAYS) if horizon is None else F.least(F.col(DAYS), F.lit(horizon))
-    last = F.floor((limit - 1) / width)
+    last = F.greatest(F.floor((limit - 1) / width), F.lit(0).cast("long"))
     happened = (F.col(EVENT) == 1) if horizon is None else (F.col(EVENT) == 1) & (F.col(DAYS) <= horizon)
-    at_risk = df.filter(F.col(DAYS) > 0).withColumn("period", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    at_risk = df.filter(F.col(DAYS) >= 0).withColumn("period", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return at_risk.withColumn("period_event", F.when(happened & (F.col("period") == last), 1).otherwise(0))
 
 
+def negative_durations(df: DataFrame) -> DataFrame:
+    """Rows that end before they start, with a reason; they cannot be trained on."""
+    return df.filter(F.col(DAYS) < 0).withColumn("reason", F.lit("duration is negative"))
+
+
 def survival_summaries(df: DataFrame, times: str = "times", survival: str = "survival") -> DataFrame:
     """Median and restricted mean of each curve."""
     t, s = F.col(times), F.col(survival)

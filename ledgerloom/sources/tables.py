@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,23 +45,11 @@ def query_with_params(df: DataFrame, sql: str, params: Mapping[str, object]) ->
 
 def page(df: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
     """One page in order of a unique text key. Rows are cut out by their position, so a deep page
-    costs no more than the first one and passes no earlier rows through one task."""
+    passes no earlier rows through one task; every page ranks the whole table."""
     placed = ordered_prefix(df, [], key, position="_at")
     return placed.filter(F.col("_at").between(offset, offset + limit - 1)).drop("_at")
 
 
-def iterate_batches(df: DataFrame, batch_size: int = 1000) -> Iterator[list]:
-    """Rows in batches, fetched partition by partition in a single pass over the table."""
-    batch = []
-    for row in df.toLocalIterator():
-        batch.append(row)
-        if len(batch) == batch_size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
-
-
 def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -318,8 +318,8 @@ SQL["permute_column"] = """
 SELECT a.id, b.risk_score FROM (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM s_rows) a
 JOIN (SELECT risk_score, row_number() OVER (ORDER BY md5('13:0:' || id)) AS pos FROM s_rows) b USING (pos)"""
 SQL["person_period"] = """
-SELECT id, period, CASE WHEN has_second_purchase = 1 AND period = (days_until_second_purchase - 1) // 30 THEN 1 ELSE 0 END AS period_event
-FROM (SELECT *, unnest(range(0, (days_until_second_purchase - 1) // 30 + 1)) AS period FROM s_rows WHERE days_until_second_purchase > 0)"""
+SELECT id, period, CASE WHEN has_second_purchase = 1 AND period = greatest((days_until_second_purchase - 1) // 30, 0) THEN 1 ELSE 0 END AS period_event
+FROM (SELECT *, unnest(range(0, greatest((days_until_second_purchase - 1) // 30, 0) + 1)) AS period FROM s_rows WHERE days_until_second_purchase >= 0)"""
 SQL["survival_summaries"] = """
 SELECT id, min(t) FILTER (WHERE s <= 0.5) AS median_days_until_second_purchase,
   coalesce(sum((t - pt) * (s + ps) / 2), 0) AS restricted_mean_survival_days

@@ -721,7 +721,7 @@ TRAINED_ON = [
 
 
 def _splits(x: Inputs) -> DataFrame:
-    rows = survival.censor_durations(_view(x)).filter(F.col(survival.DAYS) > 0)
+    rows = survival.censor_durations(_view(x)).filter(F.col(survival.DAYS) >= 0)
     rows = models.align_to_model(rows, TRAINED_ON, ["order_id", "t_pred_date", survival.EVENT, survival.DAYS])
     rows = rows.na.fill(0.0, TRAINED_ON)
     return materialize(survival.split_temporal_stratified(rows, "order_id"), "splits")
@@ -777,12 +777,10 @@ def score_requests(x: Inputs) -> DataFrame:
 def _stream(x: Inputs, flow: RequestFlow) -> None:
     """Run all requests through the stream in several micro-batches."""
     source = new_folder(x.spark, "payloads")
-    request_source.pack_requests(*x.requests().values()).repartition(6).write.json(source)
+    request_source.pack_requests(*x.requests().values()).write.json(source)
     payloads = request_source.stream_requests(x.spark, source, files_per_batch=2)
     run = flow.start(payloads, new_folder(x.spark, "stream-checkpoint"))
-    if not run.awaitTermination(600):
-        run.stop()
-        raise TimeoutError("the request stream did not finish")
+    run.awaitTermination()
 
 
 def _store(x: Inputs) -> RequestStore:

@@ -12,6 +12,7 @@ from conftest import rows
 from ledgerloom.operators import ordered, parents, upsert
 from ledgerloom.operators.concordance import concordance
 from ledgerloom.operators.dedupe import dedupe_latest, dedupe_total_order
+from ledgerloom.operators.parents import mark_missing
 from ledgerloom.operators.rules import refused
 
 
@@ -25,8 +26,8 @@ def skewed(spark, n=3000):
 @pytest.mark.parametrize("group", [["g"], []])
 def test_ordered_prefix_split_equals_window(spark, group):
     df = skewed(spark)
-    got = ordered.ordered_prefix(df, group, "k", {"before": F.col("v")}, buckets=16, small=100)
-    assert "_bucket" not in got.columns
+    got = ordered.ordered_prefix(df, group, "k", {"before": F.col("v")}, pieces=16)
+    assert "_piece" not in got.columns
     w = Window.partitionBy(*group).orderBy("k")
     want = df.withColumn("before", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
         "position", F.row_number().over(w) - 1
@@ -34,29 +35,40 @@ def test_ordered_prefix_split_equals_window(spark, group):
     assert rows(got.select("g", "k", "position", "before"), "k") == rows(want.select("g", "k", "position", "before"), "k")
 
 
-def test_ordered_prefix_buckets_are_balanced_under_skew(spark):
-    df = skewed(spark)
-    keys = ordered.sample_keys(df, ["g"], "k", 1024, 3000)
-    bounds = ordered.equal_depth_bounds(keys, 16)
-    placed = df.withColumn("b", ordered.range_bucket(F.col("k"), "string", bounds))
-    largest = placed.groupBy("g", "b").count().agg(F.max("count")).first()[0]
-    assert largest < 3000 / 16 * 1.5
+def test_ordered_prefix_pieces_grow_with_the_rows(spark):
+    assert ordered.pieces_of(spark.range(1000), rows_per_piece=10) == 100
+    assert ordered.pieces_of(spark.range(1000)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ordered_prefix_one_group_is_cut_into_pieces(spark):
+    # All rows in one group: no piece holds more than a small multiple of its share.
+    df = spark.range(4000).select(F.lit("hot").alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
+    placed = df.repartitionByRange(16, "g", "k").groupBy(F.spark_partition_id()).count()
+    assert placed.agg(F.max("count")).first()[0] < 4000 / 16 * 2
+    got = ordered.ordered_prefix(df, ["g"], "k", pieces=16)
+    assert [r["position"] for r in got.orderBy("k").collect()] == list(range(4000))
+
+
+def test_ordered_prefix_ties(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 1.0, 1), ("a", 0.5, 9), ("a", 1.0, 2)], "g string, k double, t int")
+    got = ordered.ordered_prefix(df, ["g"], "k", pieces=4, ties=["t"])
+    assert [r["t"] for r in got.orderBy("position").collect()] == [9, 1, 2, 3]
 
 
 def test_ordered_prefix_number_keys_and_hot_key(spark):
     # One key value shared by a third of the rows, each in a group of its own.
     data = [(f"a{i}", 5.0) for i in range(400)] + [("z", float(i) / 7) for i in range(800)]
     df = spark.createDataFrame(data, "g string, k double")
-    got = ordered.ordered_prefix(df, ["g"], "k", buckets=8, small=64)
+    got = ordered.ordered_prefix(df, ["g"], "k", pieces=8)
     assert got.count() == 1200
     z = [r["position"] for r in got.filter("g = 'z'").orderBy("k").collect()]
     assert z == list(range(800))
 
 
-def test_range_bucket_is_constant_folded(spark):
-    df = spark.createDataFrame([("b",)], "k string").select(ordered.range_bucket(F.col("k"), "string", ["a", "b", "c"]).alias("b"))
-    assert df.first()["b"] == 2
-    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+def test_repeated_parent_keys_multiply_nothing(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    parent = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert rows(mark_missing(df, "k", parent, "missing"), "k") == [(None, None), ("a", False), ("b", True)]
 
 
 def test_dedupe_total_order_is_independent_of_partitioning(spark):

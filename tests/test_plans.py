@@ -249,9 +249,10 @@ def test_kaplan_meier(spark):
 def test_person_period(spark):
     df = spark.createDataFrame([("a", 1, 61), ("b", 0, 30), ("c", 1, 0)], "id string, has_second_purchase int, days_until_second_purchase int")
     got = rows(survival.person_period(df, 30).select("id", "period", "period_event"), "id", "period")
-    assert got == [("a", 0, 0), ("a", 1, 0), ("a", 2, 1), ("b", 0, 0)]
+    assert got == [("a", 0, 0), ("a", 1, 0), ("a", 2, 1), ("b", 0, 0), ("c", 0, 1)]
+    assert survival.negative_durations(df).count() == 0
     short = rows(survival.person_period(df, 30, horizon=60).select("id", "period", "period_event"), "id", "period")
-    assert short == [("a", 0, 0), ("a", 1, 0), ("b", 0, 0)]
+    assert short == [("a", 0, 0), ("a", 1, 0), ("b", 0, 0), ("c", 0, 1)]
 
 
 def test_headers(spark, tmp_path):
@@ -266,8 +267,7 @@ def test_headers(spark, tmp_path):
         tables.scan_csv(spark, str(tmp_path / "missing.csv"))
 
 
-def test_pages_and_batches(spark):
+def test_pages(spark):
     df = spark.range(95).select(F.format_string("%03d", "id").alias("k"))
     pages = [rows(tables.page(df.repartition(4), "k", 40, n), "k") for n in (0, 40, 80, 120)]
     assert [len(p) for p in pages] == [40, 40, 15, 0] and pages[1][0] == ("040",)
-    assert [len(b) for b in tables.iterate_batches(df, 40)] == [40, 40, 15]
