@@ -32,7 +32,8 @@ SLACK = 0.2  # a sketch estimate may fall short of the threshold by this (four s
 RUNS = 6  # per round
 LEAST_ROUNDS, MOST_ROUNDS = 2, 8
 TARGET_RECALL = 0.99
-BUCKET = 64  # classes compared by brute force without a further split
+BUCKET = 512  # classes compared by brute force without a further split
+DENSE = 0.8  # a level that keeps this share of the rows in large buckets separates nothing any more
 LEVELS = 5
 BLOCK = 512  # classes of a block of a large bucket
 FILTER_BITS = 1 << 26  # 8 MB; texts of other classes need not move to the exact comparison
@@ -166,10 +167,13 @@ def candidate_links(classes: DataFrame, runs: list[int], threshold: float) -> Da
     """(a, b) edges of classes (class, sketch) found in some buckets of the runs."""
     sketches = classes.select("class", "sketch")
     paths = sketches.mapInArrow(_roots(runs, threshold), "path long, class binary")
-    leaves = []
+    leaves, before = [], None
     for level in range(LEVELS):
         sized = materialize(_sized(paths), "buckets")
-        last = level == LEVELS - 1 or sized.filter(F.col("size") > BUCKET).isEmpty()
+        rows = sized.filter(F.col("size") > BUCKET).count()
+        # Near copies stay together however often they are split; they are compared in blocks.
+        last = rows == 0 or level == LEVELS - 1 or (before is not None and rows > DENSE * before)
+        before = rows
         leaves.append(sized if last else sized.filter(F.col("size") <= BUCKET))
         if last:
             break
