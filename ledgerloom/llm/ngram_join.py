@@ -32,15 +32,17 @@ SLACK = 0.2  # a sketch estimate may fall short of the threshold by this (four s
 RUNS = 6  # per round
 LEAST_ROUNDS, MOST_ROUNDS = 2, 8
 TARGET_RECALL = 0.99
-BUCKET = 512  # classes compared by brute force without a further split
+BUCKET = 2048  # classes compared by brute force without a further split
 DENSE = 0.8  # a level that keeps this share of the rows in large buckets separates nothing any more
 LEVELS = 5
 BLOCK = 512  # classes of a block of a large bucket
+_GROUP = ["path", "turn", "_lo", "_hi"]
 FILTER_BITS = 1 << 26  # 8 MB; texts of other classes need not move to the exact comparison
 
 _SKETCHES = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("sketch", pa.binary())])
-_PATHS = pa.schema([("path", pa.int64()), ("class", pa.binary())])
-_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+_PATHS = pa.schema([("path", pa.int64()), ("turn", pa.int32()), ("class", pa.binary())])
+_PATHS_SQL = "path long, turn int, class binary"
+_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("turn", pa.int32())])
 _SETS = pa.schema([("class", pa.binary()), ("payload", pa.binary())])
 
 
@@ -96,18 +98,26 @@ def _children(paths: np.ndarray, sketches: np.ndarray, threshold: float) -> tupl
     return rows, mix(draws[rows, at] + mix(sketches[rows, at].astype(np.uint64) + np.uint64(1)))
 
 
-def _roots(runs: list[int], threshold: float):
+def _roots(turns: list[int], threshold: float):
+    """Task that gives the first paths of the runs of the rounds ``turns``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sketches = _matrix(batch.column("sketch"))
-            for r in runs:
-                roots = np.full(len(sketches), mix(np.array([r + 1], np.uint64))[0])
-                rows, paths = _children(roots, sketches, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(paths.view(np.int64)), batch.column("class").take(pa.array(rows))], schema=_PATHS
-                )
+            for turn in turns:
+                for r in range(turn * RUNS, (turn + 1) * RUNS):
+                    roots = np.full(len(sketches), mix(np.array([r + 1], np.uint64))[0])
+                    rows, paths = _children(roots, sketches, threshold)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(paths.view(np.int64)),
+                            pa.array(np.full(len(rows), turn, np.int32)),
+                            batch.column("class").take(pa.array(rows)),
+                        ],
+                        schema=_PATHS,
+                    )
 
     return run
 
@@ -119,8 +129,9 @@ def _split(threshold: float):
                 continue
             paths = batch.column("path").to_numpy().view(np.uint64)
             rows, paths = _children(paths, _matrix(batch.column("sketch")), threshold)
+            at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(paths.view(np.int64)), batch.column("class").take(pa.array(rows))], schema=_PATHS
+                [pa.array(paths.view(np.int64)), batch.column("turn").take(at), batch.column("class").take(at)], schema=_PATHS
             )
 
     return run
@@ -139,7 +150,7 @@ def _brute_force(least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        for (_, lo, hi), group in grouped_rows(batches, ["path", "_lo", "_hi"]):
+        for (_, turn, lo, hi), group in grouped_rows(batches, _GROUP):
             left = [r for r in group if r["_block"] == lo]
             right = left if lo == hi else [r for r in group if r["_block"] == hi]
             if not left or not right:
@@ -148,7 +159,7 @@ def _brute_force(least: float):
             near = _alike(x, y, least)
             shift, both = (0, left) if lo == hi else (len(left), left + right)
             pairs = ((int(i), int(j) + shift) for i, j in zip(*np.nonzero(np.triu(near, 1) if lo == hi else near)))
-            rows += [{"a": both[i]["class"], "b": both[j]["class"]} for i, j in spanning_forest(len(both), pairs)]
+            rows += [{"a": both[i]["class"], "b": both[j]["class"], "turn": turn} for i, j in spanning_forest(len(both), pairs)]
             if len(rows) >= 5000:
                 yield pa.RecordBatch.from_pylist(rows, schema=_PAIRS)
                 rows = []
@@ -159,14 +170,17 @@ def _brute_force(least: float):
 
 def _sized(paths: DataFrame) -> DataFrame:
     """Rows of buckets with at least two classes, with the bucket's size."""
-    sizes = paths.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
-    return paths.join(sizes, "path")
+    sizes = paths.groupBy("path", "turn").agg(F.count("*").alias("size")).filter("size > 1")
+    return paths.join(sizes, ["path", "turn"])
+
 
+def candidate_links(classes: DataFrame, turns: list[int], threshold: float) -> DataFrame:
+    """(a, b, turn) edges of classes (class, sketch) found in some buckets of the rounds ``turns``.
 
-def candidate_links(classes: DataFrame, runs: list[int], threshold: float) -> DataFrame:
-    """(a, b) edges of classes (class, sketch) found in some buckets of the runs."""
+    Rounds share no bucket; taken together they share the stages.
+    """
     sketches = classes.select("class", "sketch")
-    paths = sketches.mapInArrow(_roots(runs, threshold), "path long, class binary")
+    paths = sketches.mapInArrow(_roots(turns, threshold), _PATHS_SQL)
     leaves, before = [], None
     for level in range(LEVELS):
         sized = materialize(_sized(paths), "buckets")
@@ -177,8 +191,8 @@ def candidate_links(classes: DataFrame, runs: list[int], threshold: float) -> Da
         leaves.append(sized if last else sized.filter(F.col("size") <= BUCKET))
         if last:
             break
-        large = sized.filter(F.col("size") > BUCKET).select("path", "class").join(sketches, "class")
-        paths = large.select("path", "class", "sketch").mapInArrow(_split(threshold), "path long, class binary")
+        large = sized.filter(F.col("size") > BUCKET).select("path", "turn", "class").join(sketches, "class")
+        paths = large.select("path", "turn", "class", "sketch").mapInArrow(_split(threshold), _PATHS_SQL)
     buckets = leaves[0]
     for more in leaves[1:]:
         buckets = buckets.union(more)
@@ -186,11 +200,28 @@ def candidate_links(classes: DataFrame, runs: list[int], threshold: float) -> Da
     buckets = buckets.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("class"), F.col("_blocks")))
     buckets = buckets.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     buckets = buckets.select(
-        "path", F.least("_block", "_with").alias("_lo"), F.greatest("_block", "_with").alias("_hi"), "_block", "class"
+        "path", "turn", F.least("_block", "_with").alias("_lo"), F.greatest("_block", "_with").alias("_hi"), "_block", "class"
     )
-    keys = ["path", "_lo", "_hi"]
-    met = buckets.join(sketches, "class").repartition(*keys).sortWithinPartitions(*keys, "class")
-    return met.select(*keys, "_block", "class", "sketch").mapInArrow(_brute_force(threshold - SLACK), "a binary, b binary").distinct()
+    met = buckets.join(sketches, "class").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "class")
+    met = met.select(*_GROUP, "_block", "class", "sketch")
+    return met.mapInArrow(_brute_force(threshold - SLACK), "a binary, b binary, turn int").distinct()
+
+
+def _parts_before_and_after(edges: DataFrame, last: int) -> tuple[DataFrame, DataFrame]:
+    """Components (node, component) of the edges before round ``last`` and of all edges.
+
+    Both graphs are labelled in the same jobs: a first byte keeps their nodes apart.
+    """
+    def marked(rows: DataFrame, mark: bytes) -> DataFrame:
+        return rows.select(*(F.concat(F.lit(mark), F.col(c)).alias(c) for c in ("a", "b")))
+
+    labels = components(marked(edges.filter(F.col("turn") < last), b"\0").union(marked(edges, b"\1")))
+
+    def of(mark: bytes) -> DataFrame:
+        rows = labels.filter(F.expr("substring(node, 1, 1)") == F.lit(mark))
+        return rows.select(F.expr("substring(node, 2)").alias("node"), F.expr("substring(component, 2)").alias("component"))
+
+    return of(b"\0"), of(b"\1")
 
 
 def _places(digests: list[bytes]) -> np.ndarray:
@@ -290,21 +321,19 @@ def join_near_texts(documents: DataFrame, threshold: float = THRESHOLD, target:
     )
     classes = materialize(classes, "classes")
 
-    edges = None
-    for turn in range(MOST_ROUNDS):
-        found = materialize(candidate_links(classes, list(range(turn * RUNS, (turn + 1) * RUNS)), threshold), "links")
-        if turn + 1 < LEAST_ROUNDS:
-            edges, parts = found, components(found)
-            continue
-        # Share of the fresh links that stay inside the parts known so far.
-        inside = found.join(parts.select(F.col("node").alias("a"), F.col("component").alias("_x")), "a", "left").join(
-            parts.select(F.col("node").alias("b"), F.col("component").alias("_y")), "b", "left"
-        )
+    last = LEAST_ROUNDS - 1
+    edges = materialize(candidate_links(classes, list(range(LEAST_ROUNDS)), threshold), "links")
+    while True:
+        before, parts = _parts_before_and_after(edges, last)
+        # Share of the fresh links that stay inside the parts known before.
+        inside = edges.filter(F.col("turn") == last)
+        inside = inside.join(before.select(F.col("node").alias("a"), F.col("component").alias("_x")), "a", "left")
+        inside = inside.join(before.select(F.col("node").alias("b"), F.col("component").alias("_y")), "b", "left")
         total, known = inside.agg(F.count("*"), F.count(F.when(F.col("_x") == F.col("_y"), 1))).first()
-        edges = edges.union(found)
-        parts = components(edges)
-        if total == 0 or 1 - (1 - known / total) ** 2 >= target:
+        if total == 0 or 1 - (1 - known / total) ** 2 >= target or last + 1 == MOST_ROUNDS:
             break
+        last += 1
+        edges = edges.union(materialize(candidate_links(classes, [last], threshold), "links"))
 
     members = parts.select(F.col("node").alias("class"), F.col("component").alias("part")).join(classes.select("class", "copies"), "class")
     members = materialize(members, "members")
