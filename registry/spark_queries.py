@@ -723,7 +723,6 @@ TRAINED_ON = [
 def _splits(x: Inputs) -> DataFrame:
     rows = survival.censor_durations(_view(x)).filter(F.col(survival.DAYS) >= 0)
     rows = models.align_to_model(rows, TRAINED_ON, ["order_id", "t_pred_date", survival.EVENT, survival.DAYS])
-    rows = rows.na.fill(0.0, TRAINED_ON)
     return materialize(survival.split_temporal_stratified(rows, "order_id"), "splits")
 
 
