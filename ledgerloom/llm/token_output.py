@@ -12,7 +12,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from ledgerloom.session import new_folder
 END_ID = 2
 CHUNK_TOKENS = 3_000_000
 PARTITION_BYTES = 20 << 20  # of text; a few chunks each
-CACHED_PIECES = 200_000
+CACHED_WORDS = 500_000
+CACHED_CHARACTERS = 32 << 20
 
 FILE_SCHEMA = "part int, chunk int, before long, doc_ids array<long>, sizes array<long>, payload binary"
 _FILE_ARROW = pa.schema(
@@ -36,50 +38,75 @@ _FILE_ARROW = pa.schema(
 )
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
-# The tokenizer cuts a text into pieces that it encodes one by one. For texts of plain characters
-# the same cut is made here, so a repeated piece is encoded once; other texts go to the tokenizer
-# as a whole.
+# The tokenizer never joins characters across white space, so in texts of plain characters each
+# word is encoded by itself and a repeated word once; other texts go to the tokenizer as a whole.
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\\|")
 _PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PIECE_END = "</w>"
 
 
-class PieceEncoder:
-    """Token ids of whole texts with a bounded cache of pieces."""
+class WordEncoder:
+    """Token ids of whole texts with a cache of words, bounded in words and in characters."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Whether an id ends a piece; a piece is what the tokenizer encodes by itself.
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(_PIECE_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + len(new) > CACHED_PIECES and self.known:
+        self.characters = self.used = 0
+        self.starts, self.sizes = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.ids = np.empty(4096, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        length = sum(map(len, new))
+        if self.known and (len(self.known) + len(new) > CACHED_WORDS or self.characters + length > CACHED_CHARACTERS):
             self._forget()
-            new = list(dict.fromkeys(pieces))
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
-            self.ids = np.concatenate([self.ids, np.array([i for f in found for i in f], np.uint32)])
-            self.starts = np.cumsum(self.sizes) - self.sizes
+            new = list(dict.fromkeys(words))
+            length = sum(map(len, new))
+        ids, sizes = self._encode_words(new)
+        at, end = len(self.known), self.used + int(sizes.sum())
+        self.starts, self.sizes = _room(self.starts, at + len(new)), _room(self.sizes, at + len(new))
+        self.ids = _room(self.ids, end)
+        self.sizes[at : at + len(new)] = sizes
+        self.starts[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : end] = ids
+        self.known.update(zip(new, range(at, at + len(new))))
+        self.used, self.characters = end, self.characters + length
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and their number per word.
+
+        One call for all words costs half of a call for each. The pieces tell where a word ends; if
+        they don't add up, the words are encoded one by one.
+        """
+        joined = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        last = np.cumsum([len(_PIECES.findall(w)) for w in words])
+        if len(ends) == last[-1] and ends[-1] == len(ids):
+            return ids, np.diff(ends[last - 1], prepend=0)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
         if _NOT_PLAIN.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = _PIECES.findall(text.lower())
-        at = list(map(self.known.get, pieces, repeat(-1)))
+        words = text.lower().split()
+        at = list(map(self.known.get, words, repeat(-1)))
         if -1 in at:
-            self._learn(pieces)
-            at = list(map(self.known.__getitem__, pieces))
+            self._learn(words)
+            at = list(map(self.known.__getitem__, words))
         at = np.array(at, np.int64)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
@@ -87,6 +114,19 @@ class PieceEncoder:
         return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)] if total else self.ids[:0]
 
 
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer copy with room for at least n values."""
+    if n <= len(values):
+        return values
+    return np.concatenate([values, np.empty(max(n, 2 * len(values)) - len(values), values.dtype)])
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """Tasks of one Python worker share the words of their encoder."""
+    return WordEncoder(path)
+
+
 def write_tokens(documents: DataFrame, tokenizer: str, folder: str) -> None:
     """Write the tokens of ``documents`` (doc_id, text) as a token table in ascending doc_id order.
 
@@ -101,7 +141,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str) -> None:
     placed = docs.repartitionByRange(n, "doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         part = TaskContext.get().partitionId()
         chunk = before = held = 0
         ids: list[np.ndarray] = []

@@ -226,6 +226,17 @@ def test_token_files_edge(spark, edge, nothing, monkeypatch):
     assert token_output.token_rows(nothing, TOKENIZER).count() == 0
 
 
+def test_words_equal_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHED_WORDS", 40)
+    monkeypatch.setattr(token_output, "CACHED_CHARACTERS", 300)
+    encoder = token_output.WordEncoder(TOKENIZER)
+    rng = np.random.default_rng(3)
+    alphabet = list("abtsrelm019 '_.,!<>|\t\n\r\x20") + ["'s", "'LL", "É", "ß", "ÿ", "×", "\u0301", "日", "\x7f", "\x1c", " the "]
+    texts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 60, 400)] + ["word " * 50, "x" * 5000]
+    for text in texts * 2:
+        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def base_spans(text):
     out = []
     for kind, pattern in (
