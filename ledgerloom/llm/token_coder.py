@@ -25,6 +25,9 @@ _RATE = 5  # a weight moves by 1/32 of its error
 _LOW = np.uint64((1 << 32) - 1)
 _U16, _U32 = np.uint64(16), np.uint64(32)
 _LEAST_BLOCK, _MOST_BLOCK, _LANES = 256, 4096, 1536
+_CELLS = 1 << 23  # order-0 frequencies held at once: blocks times alphabet
+_SLICE = 1 << 18  # of them refreshed at once
+_DENSE = 1 << 20  # ids below it are numbered by a table
 # Next confidence after (confidence, hit).
 _TRUST = np.array([(c >> 1, min(c + 1, _LEVELS - 1)) for c in range(_LEVELS)], np.int32).reshape(-1)
 # Where the border of a part moves when the id lies before (1) or behind it (0).
@@ -45,7 +48,7 @@ class _Models:
         self.mix_at = rows * (_LEVELS * _LEVELS)
         self.first = np.full(k * _LEVELS * _LEVELS, (1 << _MIX_BITS) // 4, np.int32)
         self.second = np.full(k * _LEVELS * _LEVELS, (1 << _MIX_BITS) // 3, np.int32)
-        self.counts = np.zeros(k * n, np.int32)
+        self.counts = np.zeros(k * n, np.uint16)  # at most one per step, so at most _MOST_BLOCK
         self.base, self.cum_base = rows * n, rows * (n + 1)
         self.cum = np.zeros(k * (n + 1), np.int32)
         self.prev1, self.prev2 = np.zeros(k, np.int64), np.zeros(k, np.int64)
@@ -59,9 +62,12 @@ class _Models:
         # New ids grow rare as a block goes on, so the even part shrinks.
         even = max(1, min(8, 32768 // (self.step + 1024)))
         # All blocks but a shorter last one have as many counts as steps.
-        scale = np.full((self.k, 1), room / (32 * self.step + even * self.n))
-        scaled = ((counts * 32 + even) * scale).astype(np.int32)
-        np.cumsum(scaled + 1, axis=1, dtype=np.int32, out=self.cum.reshape(self.k, self.n + 1)[:, 1:])
+        scale = room / (32 * self.step + even * self.n)
+        cum = self.cum.reshape(self.k, self.n + 1)
+        rows = max(1, _SLICE // self.n)
+        for i in range(0, self.k, rows):
+            scaled = ((counts[i : i + rows] * np.int32(32) + even) * scale).astype(np.int32)
+            np.cumsum(scaled + 1, axis=1, dtype=np.int32, out=cum[i : i + rows, 1:])
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Guesses of order 2 and 1 and the borders of the first two parts, of the first k blocks."""
@@ -158,10 +164,47 @@ class _Reader:
         self.code[rows], self.range[rows] = code, width
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids in order, and each id's place among them."""
+    if not len(ids) or ids.max() >= _DENSE:
+        return np.unique(ids, return_inverse=True)
+    held = np.zeros(int(ids.max()) + 1, bool)
+    held[ids] = True
+    return np.flatnonzero(held), (np.cumsum(held, dtype=np.int32) - 1)[ids]
+
+
+def _groups(k: int, n: int) -> list[tuple[int, int]]:
+    """Even groups of blocks that are coded together; the coded blocks don't depend on them."""
+    count = max(1, -(-k * n // _CELLS))
+    each = -(-k // count)
+    return [(i, min(i + each, k)) for i in range(0, k, each)]
+
+
+def _encode_blocks(columns: np.ndarray, n: int, tail: int) -> list[bytes]:
+    """Code blocks given by step and block; the last one ends after ``tail`` steps."""
+    size, k = columns.shape
+    models, out = _Models(k, n), _Writer(k, size)
+    for t in range(size):
+        m = k if t < tail else k - 1
+        if not m:
+            break
+        now = columns[t, :m]
+        guess2, guess1, first, second = models.predict(m)
+        right2, right1 = guess2 == now, guess1 == now
+        out.put(slice(0, m), *_parts(right2, right1, first, second), _MIX_BITS)
+        rest = np.flatnonzero(~(right2 | right1))
+        if len(rest):
+            at = models.cum_base[rest] + now[rest]
+            start = models.cum[at]
+            out.put(rest, start, models.cum[at + 1] - start, _FREQ_BITS)
+        models.update(m, now, right2, right1)
+    return out.finish()
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A self-describing chunk of uint32 ids."""
     ids = np.ascontiguousarray(ids, "<u4")
-    alphabet, coded = np.unique(ids, return_inverse=True)
+    alphabet, coded = _numbered(ids)
     size = min(_MOST_BLOCK, max(_LEAST_BLOCK, -(-len(ids) // _LANES)))
     k = -(-len(ids) // size)
     head = MAGIC + struct.pack("<QIII", len(ids), size, k, len(alphabet)) + alphabet.astype("<u4").tobytes()
@@ -169,48 +212,19 @@ def encode(ids: np.ndarray) -> bytes:
         return head
     grid = np.zeros((k, size), np.int32)
     grid.reshape(-1)[: len(ids)] = coded
-    models, out = _Models(k, len(alphabet)), _Writer(k, size)
     tail = len(ids) - (k - 1) * size  # only the last block may be shorter
-    columns = np.ascontiguousarray(grid.T)
-    for t in range(size):
-        n = k if t < tail else k - 1
-        if not n:
-            break
-        now = columns[t, :n]
-        guess2, guess1, first, second = models.predict(n)
-        right2, right1 = guess2 == now, guess1 == now
-        out.put(slice(0, n), *_parts(right2, right1, first, second), _MIX_BITS)
-        rest = np.flatnonzero(~(right2 | right1))
-        if len(rest):
-            at = models.cum_base[rest] + now[rest]
-            start = models.cum[at]
-            out.put(rest, start, models.cum[at + 1] - start, _FREQ_BITS)
-        models.update(n, now, right2, right1)
-    blocks = out.finish()
+    blocks: list[bytes] = []
+    for i, j in _groups(k, len(alphabet)):
+        blocks += _encode_blocks(np.ascontiguousarray(grid[i:j].T), len(alphabet), tail if j == k else size)
     sums = [zlib.crc32(ids[i * size : (i + 1) * size].tobytes()) for i in range(k)]
     return head + b"".join(struct.pack("<II", c, len(b)) for c, b in zip(sums, blocks)) + b"".join(blocks)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids of a chunk; ValueError if the header or a block's checksum does not hold."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token-id chunk")
-    at = len(MAGIC)
-    total, size, k, n = struct.unpack_from("<QIII", data, at)
-    at += struct.calcsize("<QIII")
-    alphabet = np.frombuffer(data, "<u4", n, at)
-    at += 4 * n
-    if not k:
-        return np.empty(0, np.uint32)
-    heads = np.frombuffer(data, "<u4", 2 * k, at).reshape(k, 2)
-    at += 8 * k
-    parts = []
-    for length in heads[:, 1].tolist():
-        parts.append(data[at : at + length])
-        at += length
+def _decode_blocks(parts: list[bytes], n: int, size: int, tail: int) -> np.ndarray:
+    """Inverse of ``_encode_blocks``: one row per block."""
+    k = len(parts)
     source, models = _Reader(parts), _Models(k, n)
     columns = np.zeros((size, k), np.int32)
-    tail = total - (k - 1) * size
     for t in range(size):
         m = k if t < tail else k - 1
         if not m:
@@ -234,7 +248,30 @@ def decode(data: bytes) -> np.ndarray:
             now[rest] = low
         models.update(m, now, guess2 == now, guess1 == now)
         columns[t, :m] = now
-    ids = alphabet[np.ascontiguousarray(columns.T).reshape(-1)[:total]].astype(np.uint32)
+    return columns.T
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids of a chunk; ValueError if the header or a block's checksum does not hold."""
+    if data[: len(MAGIC)] != MAGIC:
+        raise ValueError("not a token-id chunk")
+    at = len(MAGIC)
+    total, size, k, n = struct.unpack_from("<QIII", data, at)
+    at += struct.calcsize("<QIII")
+    alphabet = np.frombuffer(data, "<u4", n, at)
+    at += 4 * n
+    if not k:
+        return np.empty(0, np.uint32)
+    heads = np.frombuffer(data, "<u4", 2 * k, at).reshape(k, 2)
+    at += 8 * k
+    parts = []
+    for length in heads[:, 1].tolist():
+        parts.append(data[at : at + length])
+        at += length
+    grid = np.empty((k, size), np.int32)
+    for i, j in _groups(k, n):
+        grid[i:j] = _decode_blocks(parts[i:j], n, size, total - (k - 1) * size if j == k else size)
+    ids = alphabet[grid.reshape(-1)[:total]].astype(np.uint32)
     for i, checksum in enumerate(heads[:, 0].tolist()):
         if zlib.crc32(ids[i * size : (i + 1) * size].astype("<u4").tobytes()) != checksum:
             raise ValueError(f"checksum of block {i} does not hold")

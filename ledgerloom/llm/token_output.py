@@ -26,10 +26,10 @@ from ledgerloom.llm.common import prepare
 from ledgerloom.session import new_folder
 
 END_ID = 2
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 2_000_000
 PARTITION_BYTES = 20 << 20  # of text; a few chunks each
-CACHED_WORDS = 500_000
-CACHED_CHARACTERS = 32 << 20
+CACHED_WORDS = 300_000
+CACHED_CHARACTERS = 16 << 20
 
 FILE_SCHEMA = "part int, chunk int, before long, doc_ids array<long>, sizes array<long>, payload binary"
 _FILE_ARROW = pa.schema(

@@ -200,6 +200,16 @@ def test_coder_round_trip(ids):
             token_coder.decode(bytes(broken))
 
 
+def test_coder_groups_do_not_matter(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids = (rng.zipf(1.3, 60_001) % 3000).astype(np.uint32)
+    whole = token_coder.encode(ids)
+    monkeypatch.setattr(token_coder, "_CELLS", 50_000)
+    monkeypatch.setattr(token_coder, "_SLICE", 7000)
+    assert token_coder.encode(ids) == whole
+    assert np.array_equal(token_coder.decode(whole), ids)
+
+
 def expected_tokens(rows):
     from tokenizers import Tokenizer
 
