@@ -4,7 +4,7 @@ Every vector keeps a short list of its nearest neighbours. The lists start from
 random projections and are refined by neighbours of neighbours: all vectors in the neighbourhood
 of a node are compared with each other, and what is nearer than the end of a list enters it.
 Lists that are full of linked neighbours (saturated) are enlarged. An audit measures recall against
-brute force for a set of query vectors and asks for more rounds while it is too low. Edges at the threshold
+brute force for a share of the vectors and asks for more rounds while it is too low. Edges at the threshold
 give parts; inside a part all members are compared exactly, in blocks and in double precision,
 so a group larger than any list loses no link. Copies of one vector count as one node.
 """
@@ -28,7 +28,11 @@ NEIGHBOURS = 8
 ENLARGED = 4  # times NEIGHBOURS, for linked neighbours
 BLOCK = 128  # vectors compared with each other at once
 TARGET_RECALL = 0.98
-AUDITED = 400  # query vectors of the audit, about
+AUDIT_SHARE = 20  # one vector of so many is a query of the audit, at least
+AUDITED_GROUPS = 50  # groups that the linked queries of the audit stand for, if there are so many
+AUDIT_BYTES = 32 << 20  # queries sent to the tasks at once
+AUDIT_ROWS = 4096  # queries compared with a batch at once
+DRAWS = 1 << 30
 ROUNDS = 6  # an audit that is still too low after these rounds raises an error
 SLACK = 1e-4  # of single precision, before the exact comparison
 
@@ -149,30 +153,77 @@ def _descend(lists: DataFrame, nodes: DataFrame, k: int, seed: int) -> DataFrame
     return met.select("hub", "node", "vec32", "reach").mapInArrow(_compare(["hub"], k), EDGE_SCHEMA)
 
 
-def _true_links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """All links of a bounded set of hash-chosen query nodes, by brute force against all nodes."""
-    total = nodes.count()
-    chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) < int(min(1.0, AUDITED / max(1, total)) * (1 << 30)))
-    queries = [(bytes(r["node"]), r["space"], bytes(r["vec32"])) for r in chosen.select("node", "space", "vec32").collect()]
-    spaces: dict[str, tuple[list[bytes], np.ndarray]] = {}
-    for space in {q[1] for q in queries}:
-        mine = [q for q in queries if q[1] == space]
-        spaces[space] = [q[0] for q in mine], np.stack([_single(q[2]) for q in mine])
+def _tally(queries: list, threshold: float):
+    """Task that sums per query vector (its place in ``queries``) the links and those inside its part."""
+    spaces: dict[str, list[int]] = {}
+    for i, row in enumerate(queries):
+        spaces.setdefault(row["space"], []).append(i)
+    held = {
+        space: (
+            np.array(at), np.stack([_single(queries[i]["vec32"]) for i in at]),
+            np.array([queries[i]["id"] for i in at]), np.array([queries[i]["part"] for i in at]),
+        )
+        for space, at in spaces.items()
+    }
+    total = len(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, met = np.zeros(total, np.int64), np.zeros(total, np.int64)
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if row["space"] in spaces:
-                    names, x = spaces[row["space"]]
-                    sims = x @ _single(row["vec32"])
-                    near = np.flatnonzero(sims >= threshold)
-                    rows += [
-                        {"u": names[i], "v": row["node"], "sim": float(sims[i])} for i in near.tolist() if names[i] != row["node"]
-                    ]
-            yield pa.RecordBatch.from_pylist(rows, schema=_EDGES)
+            names = np.array(batch.column("space").to_pylist(), object)
+            vectors = batch.column("vec32").to_pylist()
+            ids, parts = (batch.column(c).to_numpy() for c in ("id", "part"))
+            for space in set(names.tolist()) & held.keys():
+                mine = np.flatnonzero(names == space)
+                y = np.stack([_single(vectors[i]) for i in mine])
+                places, x, own, own_part = held[space]
+                for low in range(0, len(x), AUDIT_ROWS):
+                    near = np.flatnonzero(x[low : low + AUDIT_ROWS] @ y.T >= threshold)
+                    q, r = near // len(y) + low, mine[near % len(y)]
+                    other = own[q] != ids[r]
+                    q, r = q[other], r[other]
+                    wanted[places] += np.bincount(q, minlength=len(x))
+                    met[places] += np.bincount(q[own_part[q] == parts[r]], minlength=len(x))
+        at = np.flatnonzero(wanted)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(wanted[at]), pa.array(met[at])], names=["q", "wanted", "met"])
+
+    return run
+
 
-    return nodes.select("node", "space", "vec32").mapInArrow(run, EDGE_SCHEMA)
+def _recall(nodes: DataFrame, parts: DataFrame, threshold: float) -> float:
+    """Share of the links of hash-chosen query vectors that stay inside parts, by brute force against all nodes.
+
+    One vector of AUDIT_SHARE is a query; the set is enlarged until the linked ones stand for AUDITED_GROUPS
+    groups or all vectors are queries. The lower of two averages counts: each linked query alike,
+    and each weighted as its share of its group, so that a large group does not cover for small ones.
+    Queries move in slices of a fixed size; links are summed where they are found.
+    """
+    placed = nodes.join(parts.select("node", "component"), "node", "left")
+    # A vector without links is a part of its own.
+    part = F.when(F.col("component").isNull(), F.xxhash64("node")).otherwise(F.xxhash64("component"))
+    placed = materialize(placed.select("space", "vec32", F.xxhash64("node").alias("id"), part.alias("part")), "audited")
+    drawn = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(DRAWS))
+    low, high = 0, DRAWS // AUDIT_SHARE
+    linked, recalled, groups, kept = 0, 0.0, 0.0, 0.0
+    while low < DRAWS:
+        chosen = placed.filter((drawn >= low) & (drawn < high))
+        size = chosen.agg(F.coalesce(F.sum(F.length("vec32") + 100), F.lit(0))).first()[0]
+        slices = -(-size // AUDIT_BYTES)
+        for i in range(slices):
+            queries = chosen.filter(F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(slices)) == i).collect()
+            if not queries:
+                continue
+            tallied = placed.mapInArrow(_tally(queries, threshold), "q long, wanted long, met long")
+            tallied = tallied.groupBy("q").agg(F.sum("wanted").alias("wanted"), F.sum("met").alias("met"))
+            share, weight = F.col("met") / F.col("wanted"), 1 / (F.col("wanted") + 1)
+            row = tallied.agg(F.count("*"), F.sum(share), F.sum(weight), F.sum(share * weight)).first()
+            if row[0]:
+                linked, recalled, groups, kept = linked + row[0], recalled + row[1], groups + row[2], kept + row[3]
+        if groups >= AUDITED_GROUPS:
+            break
+        low, high = high, min(DRAWS, high * 4)
+    # Without a link here all vectors were queries, so there is none to find.
+    return min(recalled / linked, kept / groups) if linked else 1.0
 
 
 def link_embeddings(
@@ -196,8 +247,6 @@ def link_embeddings(
     nodes = classes.join(sizes, "space").mapInArrow(_with_single, _NODE_SCHEMA)
     nodes = materialize(nodes, "nodes")
 
-    truth = materialize(_true_links(nodes, threshold + SLACK), "true_links")
-    wanted = truth.count()
     lists = materialize(_best(_seeded(nodes, 3, seed, k), k, threshold - SLACK), "lists")
     for turn in range(1, ROUNDS + 1):
         found = _descend(lists, nodes, k, seed + turn)
@@ -205,10 +254,7 @@ def link_embeddings(
             found = found.union(_seeded(nodes, 2, seed + 100 * turn, k))
         lists = materialize(_best(lists.union(found), k, threshold - SLACK), "lists")
         parts = components(lists.filter(F.col("sim") >= threshold - SLACK), "u", "v")
-        met = truth.join(parts.select(F.col("node").alias("u"), F.col("component").alias("c")), "u").join(
-            parts.select(F.col("node").alias("v"), "component"), "v"
-        )
-        if wanted == 0 or met.filter("c = component").count() >= target * wanted:
+        if _recall(nodes, parts, threshold + SLACK) >= target:
             break
     else:
         raise RuntimeError(f"recall stays below {target} after {ROUNDS} rounds")

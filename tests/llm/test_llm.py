@@ -371,6 +371,37 @@ def test_embeddings_edge(spark):
     assert embedding_dedup.link_embeddings(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize(("hot", "pairs"), [(0, [3002]), (700, [3000, 3001, 3002])])
+def test_embeddings_audit_sees_small_groups(spark, monkeypatch, hot, pairs):
+    """A first round that misses every pair is not the last one, with and without a large group."""
+    rng = np.random.default_rng(3)
+    rows, centre = [], rng.standard_normal(64)
+    rows += [(i, centre + 0.02 * rng.standard_normal(64)) for i in range(hot)]
+    rows += [(i, rng.standard_normal(64)) for i in range(hot, 2000)]
+    for i in pairs:
+        x = rng.standard_normal(64)
+        rows += [(i, x), (i + 1000, x + 0.02 * rng.standard_normal(64))]
+    space = spark.createDataFrame([(i, x.tolist(), 1) for i, x in rows], "vec_id long, embedding array<double>, label int")
+
+    def without_pairs(step):
+        def run(lists_or_nodes, *args):
+            found = step(lists_or_nodes, *args)
+            if run.calls:
+                return found
+            run.calls += 1
+            few = (lists_or_nodes if "first" in lists_or_nodes.columns else args[0]).filter(F.col("first") >= min(pairs))
+            return found.join(few.select(F.col("node").alias("u")), "u", "left_anti")
+
+        run.calls = 0
+        return run
+
+    monkeypatch.setattr(embedding_dedup, "_seeded", without_pairs(embedding_dedup._seeded))
+    monkeypatch.setattr(embedding_dedup, "_descend", without_pairs(embedding_dedup._descend))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link_embeddings(space).collect()}
+    assert [got[i + 1000] for i in pairs] == [(1, i) for i in pairs]
+    assert got[0] == (hot - 1 if hot else 0, 0)
+
+
 def test_embeddings_large_group(spark):
     rng = np.random.default_rng(2)
     centre = rng.standard_normal(16)
