@@ -4,8 +4,9 @@ Markup is stripped to lines: one line per block of text. Elements that are never
 article (menus, footers, adverts, forms, comments, ...) leave a stretch of empty lines instead.
 Text lengths are summed over a sliding window of lines; a surge point is where the sum rises from
 zero, a dive point is where it falls back, and the text between a surge and its dive is a region.
-If the page marks its article, only lines inside it have a length; otherwise regions have to
-reach a share of the strongest one.
+If the page marks its article, only lines inside it have a length. Otherwise regions that reach a
+share of the strongest one show where the article is: all lines between the first and the last of
+them are kept, and all lines in the element around the container of them, however short.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from ledgerloom.llm.common import prepare
 
 WINDOW = 3  # lines of a block
-SHARE = 0.2  # of the strongest region, for pages without a marked article
+SHARE = 0.2  # of the strongest region, for a strong region of a page without a marked article
 
 # Element names and the words of class, id or role that name them.
 _RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "svg", "xmp", "noframes"}
@@ -31,6 +33,7 @@ _INLINE = {
     "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
 }
 _MAIN = {"article", "main"}
+_CONTAINERS = {"html", "body", "div", "section", "center", "td"}
 _OUT_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
     "consent", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "menubar", "nav", "navbar", "navigation",
@@ -58,11 +61,12 @@ def _left_out(name: str, attributes: str, by_cue: bool) -> bool:
     return any(w.lower() in _OUT_WORDS for w in _CUE_WORDS.findall(_CAMEL.sub(" ", cues))) if cues else False
 
 
-def lines_of(html: str, by_cue: bool = True) -> list[tuple[str, bool]]:
-    """(text, inside a marked article) per line; left-out elements become empty lines."""
-    lines: list[tuple[str, bool]] = []
+def lines_of(html: str, by_cue: bool = True) -> list[tuple[str, bool, tuple[int, ...]]]:
+    """(text, inside a marked article, containers from the outermost on) per line; left-out elements become empty lines."""
+    lines: list[tuple[str, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     open_tags: list[str] = []
+    open_at: list[int] = []  # place of each open tag in the page, which tells elements apart
     out_depth = 0  # depth of open_tags at which a left-out element began; 0 if none
     main_depth = 0
     at, size = 0, len(html)
@@ -71,7 +75,8 @@ def lines_of(html: str, by_cue: bool = True) -> list[tuple[str, bool]]:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
-            lines.append((text, bool(main_depth)))
+            path = tuple(i for name, i in zip(open_tags, open_at) if name in _CONTAINERS)
+            lines.append((text, bool(main_depth), path))
 
     while at < size:
         m = _TOKEN.search(html, at)
@@ -92,10 +97,10 @@ def lines_of(html: str, by_cue: bool = True) -> list[tuple[str, bool]]:
                 depth = len(open_tags) - open_tags[::-1].index(name)
                 # A stray end tag of an inline element does not close the blocks around it.
                 if name not in _INLINE or all(t in _INLINE for t in open_tags[depth - 1 :]):
-                    del open_tags[depth - 1 :]
+                    del open_tags[depth - 1 :], open_at[depth - 1 :]
             if out_depth > len(open_tags):
                 out_depth = 0
-                lines += [("", False)] * WINDOW
+                lines += [("", False, ())] * WINDOW
             if main_depth > len(open_tags):
                 main_depth = 0
             continue
@@ -110,11 +115,13 @@ def lines_of(html: str, by_cue: bool = True) -> list[tuple[str, bool]]:
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_tags:
             # These close their open predecessor, and with it inline elements left open.
             _close_implied(open_tags, name)
+            del open_at[len(open_tags) :]
         open_tags.append(name)
+        open_at.append(at)
         if not out_depth and _left_out(name, m[3], by_cue):
             flush()
             out_depth = len(open_tags)
-            lines += [("", False)] * WINDOW
+            lines += [("", False, ())] * WINDOW
         elif not main_depth and not out_depth and name in _MAIN:
             main_depth = len(open_tags)
     if not out_depth:
@@ -136,9 +143,9 @@ def main_text(html: str | None) -> str:
         return ""
     # A cue on a wrapper of the whole page would leave nothing: then only element names count.
     lines = lines_of(html)
-    lines = lines if any(text for text, _ in lines) else lines_of(html, by_cue=False)
-    marked = any(inside for text, inside in lines if text)
-    sizes = [len(text) if inside or not marked else 0 for text, inside in lines]
+    lines = lines if any(text for text, *_ in lines) else lines_of(html, by_cue=False)
+    marked = any(inside for text, inside, _ in lines if text)
+    sizes = [len(text) if inside or not marked else 0 for text, inside, _ in lines]
     blocks = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
     # A surge is the first line of text whose block follows an empty block, a dive the first
     # empty block after it.
@@ -150,10 +157,18 @@ def main_text(html: str | None) -> str:
             regions.append((start, i, sum(sizes[start:i])))
             start = None
     least = 0 if marked else SHARE * max((weight for *_, weight in regions), default=0)
-    kept = [
-        lines[i][0] for a, b, weight in regions if weight >= least for i in range(a, b) if sizes[i]
-    ]
-    return "\n".join(kept)
+    strong = [(a, b) for a, b, weight in regions if weight >= least]
+    if not strong:
+        return ""
+    first, end = strong[0][0], strong[-1][1]
+    # Left-out elements stand inside an article too, so its title and short sections may be regions
+    # of their own: they count by their place in the page.
+    around = commonprefix([lines[i][2] for a, b in strong for i in range(a, b) if sizes[i]])[:-1]
+    return "\n".join(
+        text
+        for i, (text, _, path) in enumerate(lines)
+        if sizes[i] and (first <= i < end or path[: len(around)] == around)
+    )
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -300,6 +300,17 @@ def test_main_text():
     assert html_text.main_text(unmarked) == ("long text " * 30).strip() + "\ntail"
 
 
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_main_text_of_an_unmarked_page_with_adverts(depth):
+    ad, body = "<div class=ad>Buy this</div>", "<p>" + "long text " * 80 + "</p>"
+    page = f"<nav>Home</nav><div><h1>Title</h1></div>{ad}{body}{ad}<p>Short.</p>{ad}<h2>Close</h2><p>The end.</p><footer>x</footer>"
+    page = "<html><body>" + "<div class=outer>" * depth + page + "</div>" * depth + "</body></html>"
+    want = ["Title", ("long text " * 80).strip(), "Short.", "Close", "The end."]
+    assert html_text.main_text(page) == "\n".join(want)
+    wrapped = page.replace(body, f"<div>{body}</div>")
+    assert html_text.main_text(wrapped) == "\n".join(want)
+
+
 def test_pages_keep_their_article(spark):
     rows = collected(html_text.extract_text(spark.read.parquet(f"{SF}/pages.parquet")))
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
