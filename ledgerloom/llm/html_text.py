@@ -41,24 +41,42 @@ _OUT_WORDS = {
     "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "contentinfo",
     "search", "alert", "modal", "overlay",
 }
+# Inside a marked article only these blocks are left out by a cue, and only if a whole class, id or
+# role says so: it names a left-out element and adds words of layout at most.
+_BLOCKS = {"div", "section", "aside", "ul", "ol"}
+_LAYOUT_WORDS = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "container", "form", "group", "icons", "inner", "items", "left",
+    "link", "links", "list", "outer", "panel", "posts", "right", "section", "slot", "top", "unit", "wrap", "wrapper",
+}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S
 )
-_CUE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+_CUE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _CUE_WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
-def _left_out(name: str, attributes: str, by_cue: bool) -> bool:
+def _words(cue: str) -> list[str]:
+    return [w.lower() for w in _CUE_WORDS.findall(_CAMEL.sub(" ", cue))]
+
+
+def _left_out(name: str, attributes: str, by_cue: bool, in_article: bool) -> bool:
     if name in _OUT:
         return True
     if not by_cue or not attributes or name in ("html", "body"):
         return False
-    cues = " ".join(m[1] for m in _CUE.finditer(attributes))
-    return any(w.lower() in _OUT_WORDS for w in _CUE_WORDS.findall(_CAMEL.sub(" ", cues))) if cues else False
+    cues = [(m[1].lower(), m[2].strip("\"'")) for m in _CUE.finditer(attributes)]
+    if not in_article:
+        return any(w in _OUT_WORDS for _, cue in cues for w in _words(cue))
+    if name not in _BLOCKS:
+        return False
+    # The id of a section is an anchor that repeats its heading.
+    tokens = [t for kind, cue in cues if kind != "id" or name != "section" for t in cue.split()]
+    named = [set(_words(t)) for t in tokens]
+    return any(words & _OUT_WORDS and words <= _OUT_WORDS | _LAYOUT_WORDS for words in named)
 
 
 def lines_of(html: str, by_cue: bool = True) -> list[tuple[str, bool, tuple[int, ...]]]:
@@ -118,7 +136,7 @@ def lines_of(html: str, by_cue: bool = True) -> list[tuple[str, bool, tuple[int,
             del open_at[len(open_tags) :]
         open_tags.append(name)
         open_at.append(at)
-        if not out_depth and _left_out(name, m[3], by_cue):
+        if not out_depth and _left_out(name, m[3], by_cue, bool(main_depth)):
             flush()
             out_depth = len(open_tags)
             lines += [("", False, ())] * WINDOW

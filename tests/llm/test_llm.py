@@ -311,6 +311,18 @@ def test_main_text_of_an_unmarked_page_with_adverts(depth):
     assert html_text.main_text(wrapped) == "\n".join(want)
 
 
+def test_main_text_keeps_article_text_with_cue_words():
+    page = (
+        "<article role=main><h1 class=page-header>On search</h1><p class=notice-text>A <mark class=\"search-hit\">word</mark> and a "
+        "<a class=share href=x>link</a>.</p><h2 id=\"related-work\">Related work</h2><section id=\"social-effects\"><p>Effects.</p>"
+        "</section><section id=search><p>Searching.</p></section><div class='social-norms study'>Norms.</div>"
+        "<div class='x shareButtons'>Share</div><ul class='related-posts'><li>Other</ul><aside>Aside</aside>"
+        "<section class=comments>No.</section><div id=promo-box>Buy</div><div role=search>Find</div></article><p class=ad>Ad</p>"
+    )
+    want = ["On search", "A word and a link.", "Related work", "Effects.", "Searching.", "Norms."]
+    assert html_text.main_text(page) == "\n".join(want)
+
+
 def test_pages_keep_their_article(spark):
     rows = collected(html_text.extract_text(spark.read.parquet(f"{SF}/pages.parquet")))
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
