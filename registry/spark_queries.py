@@ -714,37 +714,31 @@ def select_features(x: Inputs) -> DataFrame:
 
 # ---- models (rows only) -------------------------------------------------------------------
 
-TRAINED_ON = [
-    "total_installments", "num_items_in_order", "total_freight_value", "avg_price", "price_range",
-    "num_distinct_categories", "num_distinct_sellers", "seller_item_volume",
-]
-
-
-def _splits(x: Inputs) -> DataFrame:
-    rows = survival.censor_durations(_view(x)).filter(F.col(survival.DAYS) >= 0)
-    rows = models.align_to_model(rows, TRAINED_ON, ["order_id", "t_pred_date", survival.EVENT, survival.DAYS])
-    return materialize(survival.split_temporal_stratified(rows, "order_id"), "splits")
-
-
-def _forest() -> models.HazardForest:
-    return models.HazardForest(features=TRAINED_ON, numTrees=10, maxDepth=5, minInstancesPerNode=20, width=60, periods=12)
+def _splits(x: Inputs) -> tuple[DataFrame, list[str]]:
+    """The split rows and all trainable columns."""
+    view = _view(x)
+    names = features.trainable(view).columns
+    rows = survival.censor_durations(view).filter(F.col(survival.DAYS) >= 0)
+    rows = models.align_to_model(rows, names, ["order_id", "t_pred_date", survival.EVENT, survival.DAYS])
+    return materialize(survival.split_temporal_stratified(rows, "order_id"), "splits"), names
 
 
 def _trained(x: Inputs) -> models.Trained:
-    return models.train(_splits(x), "order_id", TRAINED_ON, _forest(), permute=False, tune=False)
+    splits, names = _splits(x)
+    return models.train(splits, "order_id", names)
 
 
 @query
 def score_risk(x: Inputs) -> DataFrame:
-    splits = _splits(x)
-    model = _forest().fit(splits.filter("split = 'train'"))
+    splits, names = _splits(x)
+    model = models.HazardForest(features=names).fit(splits.filter("split = 'train'"))
     return model.risk(splits.filter("split = 'test'"), ["order_id"])
 
 
 @query
 def permutation_importance(x: Inputs) -> DataFrame:
-    splits = _splits(x)
-    model = _forest().fit(splits.filter("split = 'train'"))
+    splits, names = _splits(x)
+    model = models.HazardForest(features=names).fit(splits.filter("split = 'train'"))
     held = splits.filter("split = 'validation'")
     base = models.c_index(model.risk(held, ["order_id", survival.EVENT, survival.DAYS]))
     return models.permutation_importance(model, held, "order_id", base)
@@ -752,10 +746,10 @@ def permutation_importance(x: Inputs) -> DataFrame:
 
 @query
 def grid_search(x: Inputs) -> DataFrame:
-    train = _splits(x).filter("split = 'train'")
-    forest = _forest()
-    grid = models.param_grid(forest, trees=[5, 10], depths=[3], leaves=[20])
-    return models.grid_scores(x.spark, models.grid_search(train, "order_id", forest, grid, folds=2), grid)
+    splits, names = _splits(x)
+    forest = models.HazardForest(features=names)
+    grid = models.param_grid(forest)
+    return models.grid_scores(x.spark, models.grid_search(splits.filter("split = 'train'"), "order_id", forest, grid), grid)
 
 
 @query
