@@ -325,13 +325,18 @@ def join_near_texts(documents: DataFrame, threshold: float = THRESHOLD, target:
     edges = materialize(candidate_links(classes, list(range(LEAST_ROUNDS)), threshold), "links")
     while True:
         before, parts = _parts_before_and_after(edges, last)
-        # Share of the fresh links that stay inside the parts known before.
+        # Share of the fresh links that stay inside the parts known before, averaged over the parts
+        # of now: a large group counts once.
         inside = edges.filter(F.col("turn") == last)
         inside = inside.join(before.select(F.col("node").alias("a"), F.col("component").alias("_x")), "a", "left")
         inside = inside.join(before.select(F.col("node").alias("b"), F.col("component").alias("_y")), "b", "left")
-        total, known = inside.agg(F.count("*"), F.count(F.when(F.col("_x") == F.col("_y"), 1))).first()
-        if total == 0 or 1 - (1 - known / total) ** 2 >= target or last + 1 == MOST_ROUNDS:
+        inside = inside.join(parts.select(F.col("node").alias("a"), F.col("component").alias("_part")), "a", "left")
+        shares = inside.groupBy("_part").agg((F.count(F.when(F.col("_x") == F.col("_y"), 1)) / F.count("*")).alias("_share"))
+        known = shares.agg(F.avg("_share")).first()[0]
+        if known is None or 1 - (1 - known) ** 2 >= target:
             break
+        if last + 1 >= MOST_ROUNDS:
+            raise RuntimeError(f"recall stays below {target} after {MOST_ROUNDS} rounds")
         last += 1
         edges = edges.union(materialize(candidate_links(classes, [last], threshold), "links"))
 

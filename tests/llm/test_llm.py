@@ -386,6 +386,30 @@ VECTORS = [(1, [1.0, 0.0], 1), (2, [2.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, None
            (7, [1.0, None], 1), (8, [1.0, 0.0], None), (9, [1.0, 0.0, 0.0], 1), (10, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (11, [], 1)]
 
 
+def test_near_texts_recall_of_small_groups(spark, monkeypatch):
+    """A group of many near copies does not hide pairs that a round missed; the last round does not end quietly."""
+    def words(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    hot = [(i, " ".join([*words("h", 200), f"x{i}"])) for i in range(120)]
+    pairs = [(1000 + 2 * p + i, " ".join([*words(f"p{p}w", 200), f"y{i}"])) for p in range(3) for i in range(2)]
+    texts = spark.createDataFrame(hot + pairs, "doc_id long, text string")
+    small = spark.createDataFrame([(bytearray(ngram_join.class_of(t.encode())[0]),) for _, t in pairs], "a binary")
+    step, asked = ngram_join.candidate_links, []
+
+    def missing(classes, turns, threshold):
+        asked.extend(turns)
+        found = step(classes, turns, threshold)
+        return found.filter("turn > 0").union(found.filter("turn = 0").join(small, "a", "left_anti").select(found.columns))
+
+    monkeypatch.setattr(ngram_join, "candidate_links", missing)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.join_near_texts(texts).collect()}
+    assert asked == [0, 1, 2] and got[0] == 119 and {got[i] for i, _ in pairs} == {1}
+    monkeypatch.setattr(ngram_join, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="recall"):
+        ngram_join.join_near_texts(texts)
+
+
 def test_embeddings_edge(spark):
     df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit("x"))
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link_embeddings(df).collect()}
