@@ -112,10 +112,131 @@ classes AS (
 SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept
 FROM classes JOIN parts USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
+# The 256 crc32 remainders, by eight shifts each, and the crc32 of a text's UTF-8 bytes.
+_CRC_TABLE = """bits AS (
+  SELECT range AS i, range AS c, 0 AS turn FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, turn + 1 FROM bits WHERE turn < 8),
+crc AS (SELECT list(c ORDER BY i) AS remainders FROM bits WHERE turn = 8)"""
+
+
+def _crc(text: str) -> str:
+    return f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+  lambda c, b: xor(remainders[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"""
+
+
+_SHARDS = f"""
+WITH RECURSIVE {_CRC_TABLE},
+rows AS (
+  SELECT doc_id, text, coalesce(source, '') AS name, source IS NULL AS missing,
+    md5(concat_ws('|', '11', coalesce('=' || doc_id, '-'), coalesce('=' || source, '-'), coalesce('=' || md5(text), '-'))) AS spot
+  FROM documents),
+ranks AS (
+  SELECT *, row_number() OVER (PARTITION BY missing, name ORDER BY spot) - 1 AS nth, count(*) OVER (PARTITION BY missing, name) AS n
+  FROM rows),
+parts AS (
+  SELECT *, (nth + CAST('0x' || substr(md5('11:' || name), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)) / n AS part
+  FROM ranks),
+placed AS (SELECT *, row_number() OVER (ORDER BY part, spot) - 1 AS place, count(*) OVER () AS total FROM parts),
+cut AS (SELECT *, place * 8 // total AS shard FROM placed)
+SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32, 'rows' AS law,
+  CAST(shard AS INTEGER) AS shard, place - (shard * total + 7) // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM cut, crc"""
+
+_VARIANTS = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc,
+    unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+lowered AS (
+  SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM runs GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc("doc || ':' || run")} AS h FROM lowered, crc WHERE length(run) >= 7),
+damaged AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS (
+  SELECT word, n, length(word) AS size, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS masked,
+    substr(word, 1, i - 1) || substr(word, i + 1) AS cut
+  FROM words, unnest(range(1, length(word) + 1)) AS r(i)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n AS n FROM gaps a JOIN gaps b USING (masked) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN words b ON a.cut = b.word),
+best AS (SELECT a, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY a),
+named AS (SELECT p.a, min(p.b) AS b FROM pairs p JOIN best ON p.a = best.a AND p.n = best.most GROUP BY p.a),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * w.n THEN named.b END AS form,
+    CASE WHEN most >= 10 * w.n THEN most END AS form_n
+  FROM words w LEFT JOIN best ON best.a = w.word LEFT JOIN named ON named.a = w.word),
+walk AS (
+  SELECT word, word AS here FROM words
+  UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON walk.here = forms.word WHERE forms.form IS NOT NULL),
+roots AS (SELECT walk.word, here AS root FROM walk JOIN forms ON walk.here = forms.word WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+
+def _manifest(levels: int = 7) -> str:
+    """Trees of up to 16 ** levels nodes, one level at a time; a lone node goes up unchanged."""
+    def leaf(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(
+            f"coalesce(CAST(strlen(CAST({f} AS VARCHAR)) AS VARCHAR) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields
+        ) + ")"
+
+    def up(name: str, first: str) -> str:
+        """Levels of trees over (tree, place, digest); rows of level k name their parent's children."""
+        steps = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            steps.append(f"""{name}{k + 1} AS (
+  SELECT tree, place // 16 AS place, CASE WHEN any_value(n) = 1 THEN any_value(digest)
+    ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest, (any_value(n) + 15) // 16 AS n
+  FROM {name}{k} GROUP BY tree, place // 16)""")
+        steps += [f"""{name}r{k} AS (
+  SELECT tree, place // 16 AS place, any_value(n) AS n, list(digest ORDER BY place) AS run FROM {name}{k} GROUP BY tree, place // 16)"""
+                  for k in range(levels)]
+        return ",\n".join(steps)
+
+    def fold(name: str, start: str) -> str:
+        """Fold each row's node, and collect its siblings, level by level."""
+        steps = [f"{name}f0 AS ({start})"]
+        for k in range(levels):
+            left, right = "run[1:f.place % 16]", "run[f.place % 16 + 2:]"
+            steps.append(f"""{name}f{k + 1} AS (
+  SELECT row_id, f.tree, f.place // 16 AS place, CASE WHEN n = 1 THEN node
+    ELSE sha256(array_to_string({left}, '') || node || array_to_string({right}, '')) END AS node,
+    proof || array_to_string({left}, '') || array_to_string({right}, '') AS proof
+  FROM {name}f{k} f JOIN {name}r{k} r ON f.tree = r.tree AND r.place = f.place // 16)""")
+        return ",\n".join(steps)
+
+    return f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf("text")} AS leaf,
+    CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 5 = 0
+      THEN {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS replacement
+  FROM documents, crc),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n,
+    row_number() OVER () AS row_id FROM leaves),
+{up("a", "SELECT tree, place, leaf AS digest, n FROM placed")},
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM a{levels}),
+{up("b", "SELECT 0 AS tree, place, digest, n FROM subroots")},
+{fold("a", "SELECT row_id, tree, place, coalesce(replacement, leaf) AS node, '' AS proof FROM placed")},
+{fold("b", f"SELECT row_id, 0 AS tree, s.place, f.node, f.proof FROM af{levels} f JOIN subroots s USING (tree)")}
+SELECT doc_id, leaf, s.digest AS subroot, top.digest AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root,
+  f.node = top.digest AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN bf{levels} f USING (row_id), b{levels} AS top"""
+
+
 ORACLE = {
     "op2_url_filter": _URLS,
     "op3_decontamination": _CONTAMINATION,
     "op7_mixing": _MIX,
     "op9_embedding_dedup": _VECTORS,
     "op10_ngram_join": _NEAR,
+    "op11_sharding": _SHARDS,
+    "op12_spelling_variants": _VARIANTS,
+    "op13_merkle_manifest": _manifest(),
 }

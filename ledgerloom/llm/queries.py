@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
     decontaminate,
@@ -11,13 +12,17 @@ from ledgerloom.llm import (
     html_text,
     language_id,
     license_scan,
+    merkle,
     mixing,
     ngram_join,
     pii,
+    sharding,
+    spelling,
     token_output,
     url_filter,
 )
 from ledgerloom.llm.oracles import ORACLE  # noqa: F401  re-exported beside the queries
+from ledgerloom.session import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,6 +75,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "class_id", "n_links", "component_id", "kept")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = sharding.write_shards(table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
+    return sharding.shard_report(stored)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents"), damage=31))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = merkle.document_leaves(table(spark, sf_dir, "documents"), merkle.chosen_rows(5))
+    rows = merkle.build_manifest(leaves)
+    rows = rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root")
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -89,5 +110,8 @@ QUERIES = {
         op8_language_id,
         op9_embedding_dedup,
         op10_ngram_join,
+        op11_sharding,
+        op12_spelling_variants,
+        op13_merkle_manifest,
     )
 } | {"pipeline": _pipeline}
