@@ -14,7 +14,7 @@ is a true one. Only built-in column functions run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.session import materialize
@@ -49,77 +49,82 @@ def word_counts(docs: DataFrame, damage: int | None = None, shortest: int = SHOR
     return counted.filter((F.length("word") >= shortest) & (F.col("n") >= least))
 
 
+KEY = ["short", "chunk", "part"]
+
+
 def chunk_keys(words: DataFrame) -> DataFrame:
-    """(key, word, n): the two chunks of each word. A key names the length of the shorter word,
-    the chunk's number and its text."""
-    half = F.expr("length(word) div 2")
-    starts = F.array(F.struct(F.lit(0).alias("chunk"), F.lit(1).alias("at")), F.struct(F.lit(1).alias("chunk"), (half + 1).alias("at")))
-    each = words.select("word", "n", half.alias("half"), F.explode(starts).alias("c"))
-    key = F.concat_ws(":", F.length("word"), F.col("c.chunk"), F.substr("word", F.col("c.at"), F.col("half")))
-    return each.select(key.alias("key"), "word", "n")
+    """(short, chunk, part, word, n): the two chunks of each word as the shorter one of a pair,
+    named by the word's length, the chunk's number and its text."""
+    each = words.select("word", "n", F.length("word").alias("short"), F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk"))
+    part = F.expr("substr(word, chunk * (short div 2) + 1, short div 2)")
+    return each.select("short", "chunk", part.alias("part"), "word", "n")
 
 
 def gram_keys(words: DataFrame) -> DataFrame:
-    """(key, word, n): the positional grams of each word as the longer one of a pair, each for
-    every chunk that it can equal within a shift of one place."""
-    lengths = F.explode(F.array(F.length("word") - 1, F.length("word")))
-    each = words.select("word", "n", lengths.alias("short")).withColumn("half", F.expr("short div 2"))
-    places = F.sequence(F.lit(0), F.length("word") - F.col("half"))
-    grams = each.select("*", F.explode(places).alias("at"))
-    grams = grams.withColumn("chunk", F.explode(F.array(F.lit(0), F.lit(1))))
-    grams = grams.filter(F.abs(F.col("at") - F.col("chunk") * F.col("half")) <= 1)
-    key = F.concat_ws(":", "short", "chunk", F.substr("word", F.col("at") + 1, F.col("half")))
-    return grams.select(key.alias("key"), "word", "n").distinct()
-
-
-def _gaps(words: DataFrame, tag: str, masked: str) -> DataFrame:
-    """(pattern, tag_word, tag_n): each word with each code point replaced by ``masked``."""
-    at = F.explode(F.sequence(F.lit(1), F.length("word")))
-    each = words.select("word", "n", at.alias("at"))
+    """(short, chunk, part, longer, word, n): the positional grams of each word as the longer one,
+    by 0 or 1 (``longer``), of a pair.
+
+    Of all its grams these are the ones that can equal a chunk after one edit: in the place of
+    the first chunk if the edit comes later, and moved by the difference of the lengths, one
+    place at most, in that of the second chunk if the edit comes before it.
+    """
+    pair = [F.explode(F.array(F.lit(0), F.lit(1))).alias(c) for c in ("longer", "chunk")]
+    each = words.select("word", "n", pair[0]).select("word", "n", "longer", pair[1])
+    each = each.withColumn("short", F.length("word") - F.col("longer"))
+    part = F.expr("substr(word, chunk * (short div 2 + longer) + 1, short div 2)")
+    return each.select("short", "chunk", part.alias("part"), "longer", "word", "n")
+
+
+def _gaps(keyed: DataFrame, longer: Column, masked: str) -> DataFrame:
+    """Patterns of words that share a chunk: one code point outside the chunk, where the edit must
+    be, replaced by ``masked``."""
+    first = F.when(F.col("chunk") == 0, F.expr("short div 2 + 1")).otherwise(F.lit(1))
+    last = F.when(F.col("chunk") == 0, F.length("word")).otherwise(F.expr("short div 2") + longer)
+    each = keyed.select("*", F.explode(F.sequence(first, last)).alias("at"))
     gap = F.concat(F.substr("word", F.lit(1), F.col("at") - 1), F.lit(masked), F.substr("word", F.col("at") + 1))
-    return each.select(gap.alias("pattern"), F.col("word").alias(f"{tag}_word"), F.col("n").alias(f"{tag}_n")).distinct()
+    return each.select("short", "chunk", gap.alias("pattern"), "word", "n")
 
 
-def _named(words: DataFrame, tag: str, key: str) -> DataFrame:
-    return words.select(F.col(key), F.col("word").alias(f"{tag}_word"), F.col("n").alias(f"{tag}_n"))
+def _named(rows: DataFrame, tag: str) -> DataFrame:
+    return rows.withColumnsRenamed({"word": f"{tag}_word", "n": f"{tag}_n"})
 
 
 def near_pairs(words: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """(a_word, a_n, b_word, b_n): all ordered pairs of different words one edit apart.
+    """(a_word, a_n, b_word, b_n): every pair of different words one edit apart, once.
 
     ``words`` holds distinct words of at least two code points, stored. Every pair is found:
     a chunk of more than ``most_pairs`` pairs is not cut but joined by one-gap patterns.
     """
-    chunks = materialize(chunk_keys(words), "chunks")
-    grams = materialize(gram_keys(words), "grams")
+    chunks, grams = chunk_keys(words), gram_keys(words)
     sizes = (
-        chunks.select("key", F.lit(1).alias("c"), F.lit(0).alias("g"))
-        .unionByName(grams.select("key", F.lit(0).alias("c"), F.lit(1).alias("g")))
-        .groupBy("key").agg(F.sum("c").alias("c"), F.sum("g").alias("g"))
+        chunks.select(*KEY, F.lit(1).alias("c"), F.lit(0).alias("g"))
+        .unionByName(grams.select(*KEY, F.lit(0).alias("c"), F.lit(1).alias("g")))
+        .groupBy(*KEY).agg(F.sum("c").alias("c"), F.sum("g").alias("g"))
     )
-    common = materialize(sizes.filter(F.col("c") * F.col("g") > most_pairs).select("key"), "common_chunks")
+    common = materialize(sizes.filter(F.col("c") * F.col("g") > most_pairs).select(*KEY), "common_chunks")
+    # Rows of a common chunk are spread over several tasks where the list of common chunks is long.
     salt = F.pmod(F.hash("word"), F.lit(SALTS))
     salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
     def rare(keyed: DataFrame) -> DataFrame:
-        return keyed.withColumn("salt", salt).join(salted, ["key", "salt"], "left_anti")
+        return keyed.withColumn("salt", salt).join(salted, [*KEY, "salt"], "left_anti").drop("salt")
 
     def shared(keyed: DataFrame) -> DataFrame:
-        return keyed.withColumn("salt", salt).join(salted, ["key", "salt"], "left_semi").select("word", "n").distinct()
-
-    met = _named(rare(chunks), "a", "key").join(_named(rare(grams), "b", "key"), "key")
-    near = F.levenshtein("a_word", "b_word", 1) == 1
-    found = met.filter(near).select("a_word", "a_n", "b_word", "b_n")
+        return keyed.withColumn("salt", salt).join(salted, [*KEY, "salt"], "left_semi").drop("salt")
 
-    short, long = materialize(shared(chunks), "common_short"), materialize(shared(grams), "common_long")
-    # The mask is no letter, so a masked pattern means one replaced code point at one place.
-    replaced = _gaps(short, "a", "*").join(_gaps(long, "b", "*"), "pattern")
-    dropped = _named(short.withColumn("pattern", F.col("word")), "a", "pattern").join(_gaps(long, "b", ""), "pattern")
     columns = ["a_word", "a_n", "b_word", "b_n"]
-    found = found.unionByName(replaced.select(*columns)).unionByName(dropped.select(*columns)).filter("a_word <> b_word")
-    return found.unionByName(found.select(
-        F.col("b_word").alias("a_word"), F.col("b_n").alias("a_n"), F.col("a_word").alias("b_word"), F.col("a_n").alias("b_n")
-    )).distinct()
+    # Words of one length meet twice, as the shorter and as the longer one.
+    once = (F.length("a_word") < F.length("b_word")) | (F.col("a_word") < F.col("b_word"))
+    met = _named(rare(chunks), "a").join(_named(rare(grams), "b"), KEY).filter(once)
+    found = met.filter(F.levenshtein("a_word", "b_word", 1) == 1).select(*columns)
+
+    # The mask is no letter, so masked patterns that agree mean one replaced code point.
+    short, long = shared(chunks), shared(grams)
+    none = F.lit(0)
+    left = _gaps(short, none, "*").unionByName(short.select("short", "chunk", F.col("word").alias("pattern"), "word", "n"))
+    right = _gaps(long.filter("longer = 0"), none, "*").unionByName(_gaps(long.filter("longer = 1"), F.lit(1), ""))
+    gapped = _named(left, "a").join(_named(right, "b"), ["short", "chunk", "pattern"]).filter(once)
+    return found.unionByName(gapped.select(*columns)).distinct()
 
 
 def group_variants(words: DataFrame, ratio: int = RATIO, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -131,6 +136,9 @@ def group_variants(words: DataFrame, ratio: int = RATIO, most_pairs: int = MOST_
     """
     words = materialize(words.select("word", "n"), "words")
     pairs = near_pairs(words, most_pairs)
+    pairs = materialize(pairs, "near_words")
+    back = [F.col(f"{old}_{c}").alias(f"{new}_{c}") for old, new in ("ba", "ab") for c in ("word", "n")]
+    pairs = pairs.unionByName(pairs.select(*back))
     best = pairs.groupBy(F.col("a_word").alias("word")).agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("b_n")).alias("n"), F.col("b_word").alias("word"))).alias("best")
     )
