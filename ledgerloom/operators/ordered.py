@@ -3,8 +3,8 @@
 A plain window puts a whole group into one task. Here rows are range-partitioned by (group, key),
 so a group is cut into as many pieces as its size needs. Sums inside a piece come from a window
 over that piece, and the sums of earlier pieces come from the small piece totals. Results are
-exact for any choice of range bounds; the bounds only balance the work. The same plan runs for
-every size.
+exact for any choice of range bounds; the bounds only balance the work. The number of pieces
+follows the rows; a single piece has no earlier ones, so its window is the result.
 """
 
 from __future__ import annotations
@@ -19,11 +19,9 @@ from ledgerloom.session import materialize
 ROWS_PER_PIECE = 100_000
 
 
-def pieces_of(df: DataFrame, rows_per_piece: int = ROWS_PER_PIECE) -> int:
-    """Number of range partitions: the counted rows over the row target, no upper bound, and at
-    least one per shuffle partition."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-df.count() // rows_per_piece))
+def pieces_of(rows: int, rows_per_piece: int = ROWS_PER_PIECE) -> int:
+    """Number of range partitions: rows over the row target, at least one, no upper bound."""
+    return max(1, -(-rows // rows_per_piece))
 
 
 def ordered_prefix(
@@ -45,10 +43,13 @@ def ordered_prefix(
     """
     sums = dict(sums or {})
     df = materialize(df, "ordered") if store else df
-    n = pieces or pieces_of(df)
-    placed = df.withColumns(sums).repartitionByRange(n, *group, key) if sums else df.repartitionByRange(n, *group, key)
+    n = pieces or pieces_of(df.count())
+    valued = df.withColumns(sums) if sums else df
+    if n == 1:
+        return _numbered(valued, group, key, sums, position, ties)
     # Range bounds come from a sample; the stored piece number stays the same if a task is retried.
-    placed = materialize(placed.withColumn("_piece", F.spark_partition_id()), "pieces")
+    placed = valued.repartitionByRange(n, *group, key).withColumn("_piece", F.spark_partition_id())
+    placed = materialize(placed, "pieces")
 
     totals = placed.groupBy(*group, "_piece").agg(F.count("*").alias("_n"), *(F.sum(s).alias(f"_{s}") for s in sums))
     before = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,13 +59,19 @@ def ordered_prefix(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
         *(F.sum(f"_{s}").over(before).alias(f"_{s}") for s in sums),
     )
-    inside = Window.partitionBy(*group, "_piece").orderBy(key, *ties)
-    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    work = placed.withColumn(position, F.row_number().over(inside) - 1)
-    work = work.withColumns({s: F.sum(s).over(earlier) for s in sums}) if sums else work
-    work = work.join(offsets, [*group, "_piece"])
-    work = work.withColumn(position, (F.col(position) + F.col("_n")).cast("long"))
+    work = _numbered(placed, [*group, "_piece"], key, sums, position, ties).join(offsets, [*group, "_piece"])
+    moved = {position: (F.col(position) + F.col("_n")).cast("long")}
     for s in sums:
         inner, outer = F.col(s), F.col(f"_{s}")
-        work = work.withColumn(s, F.when(inner.isNull(), outer).otherwise(inner + F.coalesce(outer, F.lit(0))))
-    return work.drop("_piece", "_n", *(f"_{s}" for s in sums))
+        moved[s] = F.when(inner.isNull(), outer).otherwise(inner + F.coalesce(outer, F.lit(0)))
+    return work.withColumns(moved).drop("_piece", "_n", *(f"_{s}" for s in sums))
+
+
+def _numbered(
+    df: DataFrame, group: Sequence[str], key: str, sums: Mapping[str, Column], position: str, ties: Sequence[str]
+) -> DataFrame:
+    """Position and sums over the earlier rows, by a plain window."""
+    inside = Window.partitionBy(*group).orderBy(key, *ties)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = {position: (F.row_number().over(inside) - 1).cast("long")}
+    return df.withColumns(numbered | {s: F.sum(s).over(earlier) for s in sums})

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import casts
-from ledgerloom.functions.numbers import nulls_last_text
 from ledgerloom.operators.dedupe import dedupe_total_order
-from ledgerloom.operators.ordered import ordered_prefix
 from ledgerloom.operators.parents import keep_with_parent
 from ledgerloom.session import Keep, unstored
 
@@ -133,9 +131,9 @@ def clean_payments(raw: DataFrame, orders: DataFrame, with_sequence: bool = True
     typed = default_payment_type(unique)
     columns = ["order_id", "payment_type", "num_installments", "payment_value"]
     if with_sequence:
-        typed = typed.withColumn("_seq", nulls_last_text("payment_sequential"))
-        typed = ordered_prefix(typed, ["order_id"], "_seq", position="_at")
-        typed = typed.withColumn("payment_sequential", (F.col("_at") + 1).cast("int"))
+        # An order has few payments; their numbers are unique after the dedupe.
+        inside = Window.partitionBy("order_id").orderBy(F.col("payment_sequential").asc_nulls_last())
+        typed = typed.withColumn("payment_sequential", F.row_number().over(inside))
         columns.insert(1, "payment_sequential")
     typed = typed.na.drop(subset=["payment_value", "num_installments"]).select(*columns)
     return keep_with_parent(typed, "order_id", orders)

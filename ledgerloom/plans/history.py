@@ -50,6 +50,11 @@ def online_history(orders: DataFrame, items: DataFrame) -> DataFrame:
     return _history_columns(joined, "online", F.col("request_id"), F.lit(None))
 
 
+def of_sellers(rows: DataFrame, sellers: DataFrame) -> DataFrame:
+    """History rows of the given sellers."""
+    return rows.join(sellers.select("seller_id").distinct(), "seller_id", "left_semi").select(*rows.columns)
+
+
 def upsert_history(base: DataFrame, online: DataFrame) -> DataFrame:
     """On a known (order, seller) the source and creation time keep their values."""
     return upsert_by_key(base, online, ["order_id", "seller_id"], UPDATED_ON_CONFLICT)

@@ -5,6 +5,8 @@ All functions take many requests at once; the request is part of every key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,15 +182,25 @@ def rejected_items(raw: DataFrame, valid: DataFrame) -> DataFrame:
     )
 
 
-def validate(raw: dict[str, DataFrame], keep: Keep = unstored) -> dict[str, DataFrame]:
-    """Valid and refused rows of the three request tables."""
+def validate(
+    raw: dict[str, DataFrame], keep: Keep = unstored, owners: Callable[[DataFrame], DataFrame] | None = None
+) -> dict[str, DataFrame]:
+    """Valid and refused rows of the three request tables.
+
+    An order belongs to one request. ``owners`` maps complete order rows to (order_id, request_id)
+    of the requests that own their orders, where earlier requests are known; without it the
+    earliest of the given requests does. Rows of a request without its order are refused.
+    """
     raw_orders, raw_items, raw_payments = (raw[t] for t in REQUEST_COLUMNS)
-    orders = keep({"valid_orders": valid_orders(raw_orders)})["valid_orders"]
+    complete = keep({"complete_orders": valid_orders(raw_orders)})["complete_orders"]
+    owned = (owners or order_owners)(complete)
+    orders = keep({"valid_orders": complete.join(owned, ["order_id", "request_id"], "left_semi").select(*complete.columns)})["valid_orders"]
+    refused_orders = rejected_orders(raw_orders, complete).unionByName(refused_conflicts(raw_orders, complete, orders))
     valid = keep(
         {
             "valid_payments": valid_payments(raw_payments, orders),
             "valid_items": valid_items(raw_items, orders),
-            "rejected_user_orders": rejected_orders(raw_orders, orders),
+            "rejected_user_orders": refused_orders,
         }
     )
     refused = keep(
@@ -249,12 +261,37 @@ def pass_gate(checked: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
-def order_conflicts(orders: DataFrame) -> DataFrame:
-    """Requests that name an order already taken by an earlier request: an order belongs to one
-    request."""
-    owners = first_per_key(orders, ["order_id"], [F.col("ingested_at").asc_nulls_last(), F.col("request_id").asc()])
-    late = orders.join(owners.select("request_id"), "request_id", "left_anti")
-    return late.select("request_id", "order_id", F.lit("order_id belongs to another request").alias("rejected_reason"))
+CONFLICT = "order_id belongs to another request"
+
+
+def order_owners(orders: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(order_id, request_id): the owner of each order among complete order rows, one per request.
+
+    An order that has an owner in ``known`` (order_id, request_id) keeps it; else the earliest
+    request takes it, the smallest id of equals, and one without a time comes last.
+    """
+    mine = orders.select("order_id", "request_id", "ingested_at", F.lit(1).alias("_new"))
+    if known is not None:
+        stamp = F.lit(None).cast(mine.schema["ingested_at"].dataType)
+        theirs = known.select("order_id", "request_id", stamp.alias("ingested_at"), F.lit(0).alias("_new"))
+        # Owners of orders that no request names are not looked at.
+        mine = mine.unionByName(theirs.join(orders.select("order_id"), "order_id", "left_semi").select(*mine.columns))
+    first = first_per_key(mine, ["order_id"], [F.col("_new"), F.col("ingested_at").asc_nulls_last(), F.col("request_id")])
+    return first.select("order_id", "request_id")
+
+
+def order_conflicts(orders: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Requests that name an order of another request, and that request."""
+    owners = order_owners(orders, known).withColumnRenamed("request_id", "owner_id")
+    late = orders.join(owners, "order_id").filter("owner_id <> request_id")
+    return late.select("request_id", "order_id", "owner_id", F.lit(CONFLICT).alias("rejected_reason"))
+
+
+def refused_conflicts(raw: DataFrame, complete: DataFrame, owned: DataFrame) -> DataFrame:
+    """All order rows of the requests that have a complete order row but not the order."""
+    late = complete.join(owned.select("request_id"), "request_id", "left_anti").select("request_id")
+    lost = raw.join(late, "request_id", "left_semi").select(*raw.columns)
+    return lost.withColumn("rejected_reason", F.lit(f"{CONFLICT} in table staging_user_orders"))
 
 
 # ---- features ---------------------------------------------------------------------------
@@ -266,6 +303,13 @@ def _by_request(df: DataFrame) -> DataFrame:
     return df.withColumn("order_id", F.col("request_id"))
 
 
+def history_of_requests(passed: dict[str, DataFrame], base: DataFrame) -> DataFrame:
+    """Seller history with the requests' own rows, for the sellers of the requests only: the base
+    is cut to them before the merge."""
+    new = history.online_history(passed["orders"], passed["items"])
+    return history.upsert_history(history.of_sellers(base, passed["items"]), new)
+
+
 def request_features(
     passed: dict[str, DataFrame],
     encodings: dict[str, DataFrame],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import curves
@@ -94,22 +94,35 @@ def survival_summaries(df: DataFrame, times: str = "times", survival: str = "sur
     )
 
 
-def kaplan_meier(df: DataFrame, duration: str = DAYS, event: str = EVENT) -> DataFrame:
+def kaplan_meier(
+    df: DataFrame, duration: str = DAYS, event: str = EVENT, pieces: int | None = None
+) -> DataFrame:
     """Survival (Kaplan-Meier) and cumulative hazard (Nelson-Aalen) at each distinct duration.
 
-    Durations are whole days, so after the grouping the windows see one row per day.
+    Running sums go over range pieces of durations, so durations may be of any kind and number.
+    The product of (1 - hazard) is summed as logarithms; it is 0 from the first hazard of 1 on.
+    Rows without a duration are left out.
     """
-    by_day = df.groupBy(F.col(duration).alias("duration")).agg(
+    known = df.filter(F.col(duration).isNotNull())
+    everyone = known.count()
+    by_time = known.groupBy(F.col(duration).alias("duration")).agg(
         F.count("*").alias("leaving"), F.sum(F.col(event).cast("long")).alias("events")
     )
-    onward = Window.orderBy(F.col("duration").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = Window.orderBy("duration").rowsBetween(Window.unboundedPreceding, 0)
-    risk = by_day.withColumn("at_risk", F.sum("leaving").over(onward))
+    left = ordered_prefix(by_time, [], "duration", {"_left": F.col("leaving")}, position="_at", pieces=pieces)
+    risk = left.withColumn("at_risk", (F.lit(everyone) - F.coalesce("_left", F.lit(0))).cast("long"))
     share = F.col("events").cast("double") / F.col("at_risk").cast("double")
-    return risk.select(
+    risk = risk.select("duration", "at_risk", "events", share.alias("_share"))
+    own = {
+        "_ended": (F.col("_share") == 1.0).cast("long"),
+        "_log": F.when(F.col("_share") < 1.0, F.log1p(-F.col("_share"))).otherwise(F.lit(0.0)),
+        "_hazard": F.col("_share"),
+    }
+    sums = ordered_prefix(risk, [], "duration", own, position="_at", pieces=pieces)
+    upto = {c: F.coalesce(F.col(c), F.lit(0)) + own[c] for c in own}
+    return sums.select(
         "duration",
         "at_risk",
         "events",
-        F.product(F.lit(1.0) - share).over(upto).alias("survival"),
-        F.sum(share).over(upto).alias("cumulative_hazard"),
+        F.when(upto["_ended"] > 0, F.lit(0.0)).otherwise(F.exp(upto["_log"])).alias("survival"),
+        upto["_hazard"].alias("cumulative_hazard"),
     )

@@ -8,15 +8,20 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ordered import ordered_prefix
+from ledgerloom.session import new_folder
 from ledgerloom.sources import schemas
+from ledgerloom.sources.csv_records import scan_csv_split
+from ledgerloom.sources.pages import store_pages
 
 
-def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, split: bool = True) -> DataFrame:
     """Every column as text; quoted fields may hold line breaks and doubled quotes.
 
-    A missing path raises when the scan is declared.
+    A missing path raises when the scan is declared. ``split=False`` reads each file in one task,
+    for files with quotes inside unquoted fields.
     """
+    if split:
+        return scan_csv_split(spark, path)
     return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
 
 
@@ -44,10 +49,9 @@ def query_with_params(df: DataFrame, sql: str, params: Mapping[str, object]) ->
 
 
 def page(df: DataFrame, key: str, limit: int, offset: int = 0) -> DataFrame:
-    """One page in order of a unique text key. Rows are cut out by their position, so a deep page
-    passes no earlier rows through one task; every page ranks the whole table."""
-    placed = ordered_prefix(df, [], key, position="_at")
-    return placed.filter(F.col("_at").between(offset, offset + limit - 1)).drop("_at")
+    """One page in order of a unique text key. For more pages of one table, store its order once
+    (``pages.store_pages``): a page then reads one or two files."""
+    return store_pages(df, key, new_folder(df.sparkSession, "pages")).page(limit, offset)
 
 
 def append_table(df: DataFrame, path: str) -> None:

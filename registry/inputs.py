@@ -22,7 +22,10 @@ class Inputs:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
     def fixture(self, name: str) -> DataFrame:
-        return self.spark.sql(spark_sql(name))
+        sql = spark_sql(name)
+        if name == "shared_orders":
+            sql = sql.replace("FROM staging_user_orders", f"FROM ({spark_sql('staging_user_orders')})")
+        return self.spark.sql(sql)
 
     def raw(self) -> dict[str, DataFrame]:
         return {name: self.fixture(name) for name in schemas.STAGING_COLUMNS}

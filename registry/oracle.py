@@ -319,6 +319,14 @@ CTES["complete_user_orders"] = "SELECT * FROM typed_user_orders WHERE " + " AND
 )
 CTES["u_orders"] = _latest("complete_user_orders", "request_id", _ORDER_REST)
 
+# Requests that name the order of another request.
+CTES["typed_shared_orders"] = CTES["typed_user_orders"].replace("staging_user_orders", "shared_orders")
+CTES["complete_shared_orders"] = CTES["complete_user_orders"].replace("typed_user_orders", "typed_shared_orders")
+CTES["u_shared"] = _latest("complete_shared_orders", "request_id", _ORDER_REST)
+CTES["shared_owners"] = """
+SELECT order_id, request_id AS owner_id FROM u_shared
+QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY ingested_at NULLS LAST, request_id) = 1"""
+
 _PAY_REST = "order_id payment_type num_installments payment_value"
 CTES["typed_user_payments"] = f"""
 SELECT left(request_id, 50) AS request_id, left(order_id, 50) AS order_id, {digits("payment_sequential")} AS payment_sequential,
@@ -429,9 +437,10 @@ JOIN h_merged_to_date h ON h.order_id = o.order_id AND h.seller_id = i.val_selle
 
 CTES["s_rows"] = """
 SELECT r.id, r.t_pred_date, r.n_orders, r.has_second_purchase, CAST(r.risk_score AS BIGINT) AS risk_score,
-  coalesce(CAST(nx.d - r.t_pred_date AS INTEGER), CAST(DATE '1995-12-31' - r.t_pred_date AS INTEGER)) AS days_until_second_purchase
+  coalesce(CAST(nx.d - r.t_pred_date AS INTEGER),
+    CAST((SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - r.t_pred_date AS INTEGER)) AS days_until_second_purchase
 FROM survival_rows r LEFT JOIN (
-  SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate <= DATE '1995-12-31'
+  SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(o_orderdate AS DATE) AS d FROM orders
   QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 2) nx USING (id)"""
 
 

@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans.features import PURCHASE_TIME_COLUMNS, UNTRAINED_COLUMNS
 from registry.oracle import (
-    CALENDAR, DELIVERY, LABELS, SAME_STATE, TIMING, any_day, compose, digits, fraction, nonzero, number, ts,
+    _ITEM_REST, _ORDER_REST, _PAY_REST, CALENDAR, CTES, DELIVERY, LABELS, SAME_STATE, TIMING, any_day, compose, digits, fraction, nonzero, number, ts,
 )
 
+# Columns of the purchase-time view, and those no model is trained on.
+PURCHASE_TIME_COLUMNS = """
+order_id customer_id order_status purchase_date t_pred_date has_second_purchase days_until_second_purchase
+customer_unique_id customer_zip purchase_month purchase_day_of_week purchased_on_weekend
+most_freq_payment_type_encoded payment_type_count total_installments total_payment_value num_items_in_order
+total_freight_value total_merch_value total_order_value avg_price price_std min_price price_range freight_price_ratio
+max_freight_ratio min_freight_ratio has_multiple_seller_states num_seller_states latest_shipping_limit_date
+shipping_window_days most_exp_product_id most_exp_price most_exp_freight most_exp_prod_category
+most_exp_encoded_category most_freq_category most_freq_encoded_category num_distinct_categories
+most_freq_cat_concentration val_seller_id val_seller_zip val_seller_city val_seller_state val_seller_encoded_state
+has_duplicate_sellers has_multiple_sellers num_distinct_sellers avg_seller_price avg_seller_freight
+seller_order_volume seller_item_volume
+""".split()
+UNTRAINED_COLUMNS = """
+order_id customer_id order_status purchase_date t_pred_date has_second_purchase days_until_second_purchase
+customer_unique_id customer_zip latest_shipping_limit_date most_exp_product_id most_exp_prod_category
+most_freq_category val_seller_id val_seller_zip val_seller_city val_seller_state total_order_value request_id
+ingested_at
+""".split()
+
 _ORDER_DATES = "purchase_date order_approval_date delivered_carrier_date delivered_customer_date estimated_delivery_date"
 _ROLLUP_MONEY = "total_freight_value total_merch_value total_order_value min_price price_range"
 _EXP_MONEY = "most_exp_price most_exp_freight"
@@ -51,6 +70,8 @@ SQL["param_query"] = out(
 )
 SQL["paged_scan"] = out("(SELECT * FROM t_orders ORDER BY order_id LIMIT 500 OFFSET 2000)", _ORDER_DATES)
 SQL["explode_requests"] = out("staging_user_order_items", stamps="ingested_at", where="request_id IS NOT NULL")
+SQL["explode_request_orders"] = out("staging_user_orders", stamps="ingested_at", where="request_id IS NOT NULL")
+SQL["explode_request_payments"] = out("staging_user_payments", stamps="ingested_at", where="request_id IS NOT NULL")
 SQL["sanitize_blanks"] = """
 SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN ' ' || c_mktsegment END AS segment FROM customer"""
 SQL["option_lists"] = """
@@ -157,17 +178,30 @@ SQL["audit_totals"] = " UNION ALL ".join(
 )
 
 
+def _unique(table: str, source: str, keys: str) -> str:
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+    return f"""SELECT '{table}' AS table_name, 'unique({keys})' AS check_name,
+  (SELECT count(*) - count(DISTINCT ({keys})) FROM {source} WHERE {known}) AS violations"""
+
+
+def _not_null(table: str, source: str, column: str) -> str:
+    return f"SELECT '{table}', 'not null({column})', (SELECT count(*) FROM {source} WHERE {column} IS NULL)"
+
+
+def _references(table: str, source: str, column: str, parent: str, key: str) -> str:
+    return f"""SELECT '{table}', 'references({column})', (SELECT count(*) FROM {source} t WHERE {column} IS NOT NULL
+  AND NOT EXISTS (FROM {parent} p WHERE p.{key} = t.{column}))"""
+
+
 def _checks() -> str:
     def unique(table: str, keys: str) -> str:
-        return f"""SELECT '{table}' AS table_name, 'unique({keys})' AS check_name,
-  (SELECT count(*) FROM (SELECT 1 FROM staging_{table} GROUP BY {keys} HAVING count(*) > 1)) AS violations"""
+        return _unique(table, f"staging_{table}", keys)
 
     def not_null(table: str, column: str) -> str:
-        return f"SELECT '{table}', 'not null({column})', (SELECT count(*) FROM staging_{table} WHERE {column} IS NULL)"
+        return _not_null(table, f"staging_{table}", column)
 
     def references(table: str, column: str, parent: str, key: str) -> str:
-        return f"""SELECT '{table}', 'references({column})', (SELECT count(*) FROM staging_{table} t WHERE {column} IS NOT NULL
-  AND NOT EXISTS (FROM staging_{parent} p WHERE p.{key} = t.{column}))"""
+        return _references(table, f"staging_{table}", column, f"staging_{parent}", key)
 
     return " UNION ALL ".join(
         [
@@ -175,11 +209,13 @@ def _checks() -> str:
             unique("products", "product_id"), unique("sellers", "seller_id"), unique("item_orders", "order_id, item_id"),
             unique("customers", "customer_id"), unique("payments", "order_id, payment_sequential"),
             unique("reviews", "review_id, order_id"),
-            *(not_null("orders", c) for c in ("customer_id", "purchase_date")),
-            not_null("products", "product_category_name"),
-            *(not_null("item_orders", c) for c in ("product_id", "seller_id", "shipping_limit_date", "price")),
-            not_null("customers", "customer_unique_id"), not_null("payments", "payment_value"),
-            *(not_null("reviews", c) for c in ("review_score", "post_date")),
+            *(not_null("orders", c) for c in ("order_id", "customer_id", "purchase_date")),
+            not_null("product_category", "product_category"), not_null("sellers", "seller_id"),
+            *(not_null("products", c) for c in ("product_id", "product_category_name")),
+            *(not_null("item_orders", c) for c in ("order_id", "item_id", "product_id", "seller_id", "shipping_limit_date", "price")),
+            *(not_null("customers", c) for c in ("customer_id", "customer_unique_id")),
+            *(not_null("payments", c) for c in ("order_id", "payment_sequential", "payment_value")),
+            *(not_null("reviews", c) for c in ("review_id", "order_id", "review_score", "post_date")),
             references("products", "product_category_name", "product_category", "product_category"),
             references("item_orders", "order_id", "orders", "order_id"),
             references("item_orders", "product_id", "products", "product_id"),
@@ -190,6 +226,24 @@ def _checks() -> str:
     )
 
 
+def _online_checks() -> str:
+    tables = {"user_orders": "staging_user_orders", "user_order_items": "staging_user_order_items",
+              "user_payments": "staging_user_payments", "user_features": "k_rows"}
+    keys = {"user_orders": ("request_id", "order_id"), "user_order_items": ("request_id, item_id",),
+            "user_payments": ("request_id, payment_sequential",), "user_features": ("request_id", "order_id")}
+    required = {
+        "user_orders": "request_id " + _ORDER_REST, "user_order_items": "request_id item_id " + _ITEM_REST,
+        "user_payments": "request_id payment_sequential " + _PAY_REST, "user_features": " ".join(c for c in _K_COLUMNS if c != "ingested_at"),
+    }
+    parts = [_unique(t, tables[t], k) for t in tables for k in keys[t]]
+    parts += [_not_null(t, tables[t], c) for t in tables for c in (*required[t].split(), "ingested_at")]
+    parts += [
+        _references(t, tables[t], c, "staging_user_orders", c)
+        for t in ("user_order_items", "user_payments") for c in ("request_id", "order_id")
+    ]
+    return " UNION ALL ".join(parts)
+
+
 SQL["constraint_violations"] = _checks()
 
 # ---- joins
@@ -265,6 +319,9 @@ SELECT i.request_id, count(*) FILTER (WHERE x.source_table = 'rejected_user_orde
 FROM (SELECT request_id FROM staging_user_orders UNION SELECT request_id FROM x_all) i
 LEFT JOIN x_all x ON x.request_id IS NOT DISTINCT FROM i.request_id GROUP BY i.request_id"""
 SQL["rejected_reasons"] = "SELECT request_id, rejected_reason FROM x_all WHERE rejected_reason IS NOT NULL"
+SQL["online_order_conflicts"] = """
+SELECT request_id, order_id, owner_id, 'order_id belongs to another request' AS rejected_reason
+FROM u_shared JOIN shared_owners USING (order_id) WHERE owner_id <> request_id"""
 SQL["history_upsert"] = out("h_merged", "cutoff_date", "order_seller_price order_seller_freight")
 _K_COLUMNS = ["request_id", *[c for c in PURCHASE_TIME_COLUMNS if c not in ("has_second_purchase", "days_until_second_purchase")], "ingested_at"]
 _K = f"(SELECT {', '.join(_K_COLUMNS)} FROM k_rows)"
@@ -275,9 +332,11 @@ _ENCODED = ("most_freq_payment_type_encoded", "most_exp_encoded_category", "most
 SQL["online_features"] = out(
     _K, _VIEW_DATES, _VIEW_MONEY, _REQUEST_STAMP, where=" AND ".join(f"{c} IS NOT NULL" for c in _REQUIRED), **_STD
 )
-SQL["online_features_refused"] = "SELECT * FROM (SELECT request_id, CASE " + " ".join(
+CTES["k_refused"] = "SELECT * FROM (SELECT request_id, CASE " + " ".join(
     f"WHEN {c} IS NULL THEN '{'unseen' if c in _ENCODED else 'NULL'} {c}'" for c in _REQUIRED
 ) + " END AS rejected_reason FROM k_rows) WHERE rejected_reason IS NOT NULL"
+SQL["online_features_refused"] = "SELECT * FROM k_refused"
+SQL["online_constraint_violations"] = _online_checks()
 _COMPARED = [c for c in _K_COLUMNS if c not in ("request_id", "order_id", "ingested_at")]
 
 
@@ -298,10 +357,23 @@ SQL["upsert_by_key"] = out(
 SQL["retention_filter"] = out(
     "staging_user_order_items", stamps="ingested_at", where="ingested_at IS NULL OR ingested_at >= TIMESTAMP '2001-06-01' - INTERVAL 14 DAY"
 )
+SQL["stored_upsert"] = SQL["upsert_by_key"]
+SQL["upsert_keys"] = """
+SELECT request_id, CAST(bool_and(customer_city = 'retry') AS INTEGER) AS inserted FROM complete_user_orders
+GROUP BY request_id HAVING bool_or(customer_city = 'retry')"""
+_ONLINE = {
+    "staging_user_orders": "staging_user_orders", "staging_user_order_items": "staging_user_order_items",
+    "staging_user_payments": "staging_user_payments", "valid_orders": "u_orders", "valid_items": "u_items",
+    "valid_payments": "u_payments", "features": "k_rows",
+}
 SQL["reset_tables"] = " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) AS rows_before, 0 AS rows_after FROM {t}"
-    for t in ("staging_user_orders", "staging_user_order_items", "staging_user_payments")
-)
+    f"SELECT '{t}' AS table_name, count(*) AS rows_before, 0 AS rows_after FROM {cte}" for t, cte in _ONLINE.items()
+) + " UNION ALL SELECT 'refused_features', count(*), count(*) FROM k_refused"
+SQL["retention_tables"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows_before, "
+    "count(*) FILTER (WHERE ingested_at IS NULL OR ingested_at >= TIMESTAMP '2001-06-01' - INTERVAL 14 DAY) AS rows_after "
+    f"FROM {cte}" for t, cte in _ONLINE.items()
+) + " UNION ALL SELECT 'refused_features', count(*), count(*) FROM k_refused"
 
 # ---- survival
 SQL["censor_durations"] = out("s_rows", "t_pred_date", drop="n_orders")
@@ -347,6 +419,33 @@ SELECT feature, round(importance, 6) AS importance FROM (
   UNION ALL SELECT 'n_orders', (good + CAST(ties AS DOUBLE) / 2) / (good + bad + ties) - 0.5 FROM ({_pairs("n_orders")})
 ) WHERE importance >= -0.005"""
 
+# ---- models: facts about the fitted models
+CTES["m_rows"] = """
+SELECT order_id, t_pred_date, has_second_purchase,
+  coalesce(days_until_second_purchase, CAST(DATE '2018-09-03' - t_pred_date AS INTEGER)) AS days FROM wide"""
+CTES["m_split"] = """
+SELECT *, CASE WHEN pos < floor(floor(n * CAST(0.8 AS DOUBLE)) * 7 / 8) THEN 'train'
+  WHEN pos < floor(n * CAST(0.8 AS DOUBLE)) THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY has_second_purchase ORDER BY t_pred_date, order_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY has_second_purchase) AS n FROM m_rows WHERE days >= 0)"""
+SQL["score_risk"] = "SELECT order_id, 1 AS risk_in_bounds FROM m_split WHERE split = 'test'"
+SQL["permutation_importance"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, 1 AS importance_in_bounds" for c in PURCHASE_TIME_COLUMNS if c not in UNTRAINED_COLUMNS
+)
+SQL["grid_search"] = """
+SELECT d AS max_depth, l AS min_instances_per_node, t AS num_trees, 1 AS c_index_in_bounds
+FROM (VALUES (5), (10), (15)) a(d), (VALUES (50), (75), (100)) b(l), (VALUES (100), (200)) c(t)"""
+SQL["model_metadata"] = """
+SELECT 'HazardForestModel' AS model_type, 27 AS num_selected_features, 200 AS num_trees, 15 AS max_depth, 100 AS min_instances_per_node,
+  CAST(count(*) AS BIGINT) AS test_rows, 1 AS c_index_in_bounds FROM m_split WHERE split = 'test'"""
+SQL["train_modes"] = """
+SELECT mode, features_kept, 1 AS c_index_in_bounds, 1 AS reloaded_scores_equal
+FROM (VALUES ('base', 34), ('fast', 27)) AS m(mode, features_kept)"""
+_SCORED = " AND ".join(f"{c} IS NOT NULL" for c in _REQUIRED)
+SQL["score_requests"] = f"""
+SELECT request_id, 1 AS risk_in_bounds, 1 AS median_recomputed, 1 AS mean_recomputed, 1 AS has_note FROM k_rows WHERE {_SCORED}"""
+SQL["stream_score"] = SQL["score_requests"]
+
 # ---- streaming: the batch result over the same rows
 SQL["stream_ingest"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, request_id, count(*) AS staged_rows FROM {t} WHERE request_id IS NOT NULL GROUP BY request_id"
@@ -360,5 +459,9 @@ SQL["stream_validate"] = " UNION ALL ".join(
     )
 )
 SQL["stream_latest_wins"] = SQL["online_orders_valid"]
+SQL["stream_retries"] = """
+SELECT request_id, count(*) AS payloads, CAST(min(ingested_at) AS VARCHAR) AS first_arrival FROM (
+  SELECT request_id, customer_city, purchase_date, min(CAST(ingested_at AS DATE)) AS ingested_at FROM staging_user_orders
+  WHERE request_id IS NOT NULL GROUP BY ALL) GROUP BY request_id"""
 
 ORACLE = {name: compose(sql) for name, sql in SQL.items()}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,12 +18,13 @@ from ledgerloom.plans import checks, clean, encode, features, history, items, mo
 from ledgerloom.session import materialize, materialize_all, new_folder
 from ledgerloom.sources import requests as request_source
 from ledgerloom.sources import schemas, tables
+from ledgerloom.sources.stored import StoredTable
 from ledgerloom.streaming.requests import VALID_KEYS, RequestFlow, RequestStore
+from ledgerloom.streaming.retries import without_retries
 from registry.inputs import Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-STUDY_END = date(1995, 12, 31)
 AS_OF = datetime(2001, 6, 1)
 MODEL_COLUMNS = ["avg_price", "num_items_in_order", "absent_feature", "seller_order_volume", "val_seller_encoded_state"]
 
@@ -96,13 +98,27 @@ def paged_scan(x: Inputs) -> DataFrame:
     return tables.page(x.orders(), "order_id", limit=500, offset=2000)
 
 
-@query
-def explode_requests(x: Inputs) -> DataFrame:
+def _exploded(x: Inputs) -> dict[str, DataFrame]:
     raw = x.requests()
     path = new_folder(x.spark, "payloads")
     request_source.pack_requests(*raw.values()).write.json(path)
     parts = request_source.explode_requests(request_source.read_requests(x.spark, path))
-    return parts["staging_user_order_items"].filter("request_id IS NOT NULL")
+    return {name: df.filter("request_id IS NOT NULL") for name, df in parts.items()}
+
+
+@query
+def explode_requests(x: Inputs) -> DataFrame:
+    return _exploded(x)["staging_user_order_items"]
+
+
+@query
+def explode_request_orders(x: Inputs) -> DataFrame:
+    return _exploded(x)["staging_user_orders"]
+
+
+@query
+def explode_request_payments(x: Inputs) -> DataFrame:
+    return _exploded(x)["staging_user_payments"]
 
 
 @query
@@ -559,14 +575,27 @@ def rejected_reasons(x: Inputs) -> DataFrame:
     return online.rejected_reasons(_checked(x))
 
 
+@query
+def online_order_conflicts(x: Inputs) -> DataFrame:
+    return online.order_conflicts(online.valid_orders(x.request_table("shared_orders")))
+
+
+def _features(checked: dict[str, DataFrame], parts: dict[str, DataFrame]) -> DataFrame:
+    passed = online.pass_gate(checked)
+    merged = online.history_of_requests(passed, parts["history"])
+    return materialize(online.request_features(passed, parts["encodings"], merged), "request_features")
+
+
 def _served(x: Inputs) -> tuple[dict[str, DataFrame], DataFrame]:
     """The typed tables' feature parts and the feature rows of all passed requests."""
     parts = x.feature_parts()
-    passed = online.pass_gate(_checked(x))
-    merged = history.upsert_history(parts["history"], history.online_history(passed["orders"], passed["items"]))
-    return parts, materialize(
-        online.request_features(passed, parts["encodings"], merged), "request_features"
-    )
+    return parts, _features(_checked(x), parts)
+
+
+@query
+def online_constraint_violations(x: Inputs) -> DataFrame:
+    raw = {f"user_{n.removeprefix('staging_user_')}": df for n, df in x.requests().items()}
+    return checks.constraint_violations(raw | {"user_features": _served(x)[1]}, checks.ONLINE_CONSTRAINTS)
 
 
 @query
@@ -614,26 +643,72 @@ def retention_filter(x: Inputs) -> DataFrame:
     return upsert.keep_recent(x.request_table("staging_user_order_items"), AS_OF, 14)
 
 
+def _first_and_retry(x: Inputs) -> tuple[StoredTable, DataFrame]:
+    """A stored table of the first order rows, and the rows of the second submissions."""
+    raw = x.request_table("staging_user_orders")
+    first, retry = (online.valid_orders(raw.filter(F.col("customer_city") == c)) for c in ("first", "retry"))
+    table = StoredTable(x.spark, new_folder(x.spark, "user-orders"), first.schema, ["request_id"], "ingested_at", age_unit=None)
+    table.append(first)
+    return table, retry
+
+
+@query
+def stored_upsert(x: Inputs) -> DataFrame:
+    table, retry = _first_and_retry(x)
+    table.upsert(retry)
+    return table.read()
+
+
+@query
+def upsert_keys(x: Inputs) -> DataFrame:
+    table, retry = _first_and_retry(x)
+    return table.upsert(retry)
+
+
+def _online_tables(x: Inputs) -> tuple[RequestStore, dict[str, T.StructType]]:
+    """The seven online tables and the refused rows, stored as by one batch of all requests."""
+    raw = x.requests()
+    checked = _checked(x, raw)
+    served = _features(checked, x.feature_parts())
+    frames = raw | {f"valid_{n}": checked[n] for n in VALID_KEYS}
+    frames |= {"features": served, "refused_features": online.refused_features(served)}
+    store = RequestStore(x.spark, new_folder(x.spark, "requests"), buckets=4, age_unit="year")
+    store.write_all(frames, 0)
+    return store, {name: df.schema for name, df in frames.items()}
+
+
+def _row_counts(x: Inputs, change: Callable[[RequestStore, dict[str, T.StructType]], None]) -> DataFrame:
+    """Rows of each stored table before and after a change."""
+    store, schemas = _online_tables(x)
+
+    def counts(column: str) -> DataFrame:
+        parts = [store.read(n, s).agg(F.count("*").alias(column)).withColumn("table_name", F.lit(n)) for n, s in schemas.items()]
+        return materialize(reduce(DataFrame.unionByName, parts), column)
+
+    before = counts("rows_before")
+    change(store, schemas)
+    return before.join(counts("rows_after"), "table_name")
+
+
+@query
+def retention_tables(x: Inputs) -> DataFrame:
+    return _row_counts(x, lambda store, schemas: store.expire(schemas, AS_OF, 14))
+
+
 @query
 def reset_tables(x: Inputs) -> DataFrame:
-    parts = []
-    for name, df in x.requests().items():
-        before = df.select(F.lit(1).alias("b"), F.lit(0).alias("a"))
-        after = upsert.emptied(df).select(F.lit(0).alias("b"), F.lit(1).alias("a"))
-        counts = before.unionByName(after).agg(F.sum("b").alias("rows_before"), F.sum("a").alias("rows_after"))
-        parts.append(counts.withColumn("table_name", F.lit(name)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _row_counts(x, lambda store, schemas: store.reset(schemas))
 
 
 # ---- survival -----------------------------------------------------------------------------
 
 
 def _open_rows(x: Inputs) -> DataFrame:
-    """Fixture rows with the days to the second order inside the study, NULL if there is none."""
+    """Fixture rows with the days to the second order, NULL if there is none."""
     second = x.spark.sql(
         "SELECT id, second_date FROM (SELECT CAST(o_custkey AS STRING) AS id, CAST(o_orderdate AS DATE) AS second_date, "
         "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n "
-        "FROM orders WHERE o_orderdate <= DATE '1995-12-31') WHERE n = 2"
+        "FROM orders) WHERE n = 2"
     )
     rows = x.fixture("survival_rows").join(second, "id", "left")
     return rows.select(
@@ -643,7 +718,8 @@ def _open_rows(x: Inputs) -> DataFrame:
 
 
 def _survival(x: Inputs) -> DataFrame:
-    return survival.censor_durations(_open_rows(x), STUDY_END)
+    last = x.spark.sql("SELECT CAST(max(o_orderdate) AS DATE) FROM orders").first()[0]
+    return survival.censor_durations(_open_rows(x), last)
 
 
 @query
@@ -712,7 +788,7 @@ def select_features(x: Inputs) -> DataFrame:
     return rounded(models.select_features(_scored_features(x)), "importance")
 
 
-# ---- models (rows only) -------------------------------------------------------------------
+# ---- models: facts that every fitted model has -------------------------------------------------------------------
 
 def _splits(x: Inputs) -> tuple[DataFrame, list[str]]:
     """The split rows and all trainable columns."""
@@ -723,16 +799,27 @@ def _splits(x: Inputs) -> tuple[DataFrame, list[str]]:
     return materialize(survival.split_temporal_stratified(rows, "order_id"), "splits"), names
 
 
-def _trained(x: Inputs) -> models.Trained:
+def _inside(value: Column, low: float, high: float) -> Column:
+    return value.between(low, high).cast("int")
+
+
+def _fast_model(x: Inputs) -> tuple[models.Trained, models.HazardForestModel, DataFrame]:
+    """The published model's settings, fitted on the train split, stored, and read back."""
     splits, names = _splits(x)
-    return models.train(splits, "order_id", names)
+    trained = models.train(splits, "order_id", names, metadata=models.TUNED)
+    folder = new_folder(x.spark, "model")
+    models.save(x.spark, trained, folder)
+    return trained, models.load(x.spark, folder), splits
 
 
 @query
 def score_risk(x: Inputs) -> DataFrame:
     splits, names = _splits(x)
     model = models.HazardForest(features=names).fit(splits.filter("split = 'train'"))
-    return model.risk(splits.filter("split = 'test'"), ["order_id"])
+    scored = model.risk(splits.filter("split = 'test'"), ["order_id"])
+    # A cumulative hazard of at most one per period, summed over the time grid.
+    periods = model.value("periods")
+    return scored.select("order_id", _inside(F.col("risk_score"), 0, periods * (periods + 1) / 2).alias("risk_in_bounds"))
 
 
 @query
@@ -741,7 +828,8 @@ def permutation_importance(x: Inputs) -> DataFrame:
     model = models.HazardForest(features=names).fit(splits.filter("split = 'train'"))
     held = splits.filter("split = 'validation'")
     base = models.c_index(model.risk(held, ["order_id", survival.EVENT, survival.DAYS]))
-    return models.permutation_importance(model, held, "order_id", base)
+    found = models.permutation_importance(model, held, "order_id", base)
+    return found.select("feature", _inside(F.col("importance"), base - 1, base).alias("importance_in_bounds"))
 
 
 @query
@@ -749,19 +837,62 @@ def grid_search(x: Inputs) -> DataFrame:
     splits, names = _splits(x)
     forest = models.HazardForest(features=names)
     grid = models.param_grid(forest)
-    return models.grid_scores(x.spark, models.grid_search(splits.filter("split = 'train'"), "order_id", forest, grid), grid)
+    found = models.grid_search(splits.filter("split = 'train'"), "order_id", forest, grid)
+    scores = models.grid_scores(x.spark, found, grid)
+    return scores.withColumn("c_index_in_bounds", _inside(F.col("c_index"), 0, 1)).drop("c_index")
 
 
 @query
 def model_metadata(x: Inputs) -> DataFrame:
-    return models.model_metadata(x.spark, _trained(x)).select("model_type", "num_selected_features", "test_c_index")
+    trained, _, splits = _fast_model(x)
+    params = F.col("final_model_params")
+    row = models.model_metadata(x.spark, trained).select(
+        "model_type", "num_selected_features", params["numTrees"].alias("num_trees"), params["maxDepth"].alias("max_depth"),
+        params["minInstancesPerNode"].alias("min_instances_per_node"), _inside(F.col("test_c_index"), 0, 1).alias("c_index_in_bounds"),
+    )
+    return row.withColumn("test_rows", F.lit(splits.filter("split = 'test'").count()).cast("long"))
+
+
+@query
+def train_modes(x: Inputs) -> DataFrame:
+    """Base training and fast retrain; each model is stored, read back and scores as before."""
+    splits, names = _splits(x)
+    test = splits.filter("split = 'test'")
+    rows = []
+    for mode, options in (("base", {"permute": False, "tune": False}), ("fast", {"metadata": models.TUNED})):
+        trained = models.train(splits, "order_id", names, **options)
+        folder = new_folder(x.spark, f"model-{mode}")
+        models.save(x.spark, trained, folder)
+        before, after = (m.risk(test, ["order_id"]) for m in (trained.model, models.load(x.spark, folder)))
+        rows.append((mode, len(trained.features), int(0 <= trained.test_c_index <= 1), int(before.exceptAll(after).isEmpty())))
+    return x.spark.createDataFrame(rows, "mode string, features_kept int, c_index_in_bounds int, reloaded_scores_equal int")
+
+
+def _checked_scores(scored: DataFrame, model: models.HazardForestModel, series: DataFrame) -> DataFrame:
+    """Each prediction record against the curve it comes from, summed over the curve's points."""
+    width, periods = model.value("width"), model.value("periods")
+    curve = series.select("request_id", F.posexplode("survival").alias("i", "s"))
+    # The trapezoids between the points, each point with its share of them.
+    share = F.when(F.col("i").isin(0, periods - 1), 0.5).otherwise(1.0)
+    again = curve.groupBy("request_id").agg(
+        F.min(F.when(F.col("s") <= 0.5, (F.col("i") + 1) * width)).alias("median"),
+        F.sum(F.col("s") * share * width).alias("mean"),
+    )
+    median = F.col("median_days_until_second_purchase").eqNullSafe(F.col("median").cast("double"))
+    return scored.join(again, "request_id").select(
+        "request_id",
+        _inside(F.col("risk_score"), 0, 1e9).alias("risk_in_bounds"),
+        median.cast("int").alias("median_recomputed"),
+        (F.abs(F.col("restricted_mean_survival_days") - F.col("mean")) < 1e-6 * periods * width).cast("int").alias("mean_recomputed"),
+        (F.col("note") == models.NOTE).cast("int").alias("has_note"),
+    )
 
 
 @query
 def score_requests(x: Inputs) -> DataFrame:
-    trained = _trained(x)
-    served = online.complete_features(_served(x)[1])
-    return models.score_requests(trained.model, served)
+    _, model, _ = _fast_model(x)
+    series = materialize(model.curves(online.complete_features(_served(x)[1]), ["request_id"]), "curves")
+    return _checked_scores(models.score_curves(series), model, series)
 
 
 # ---- streaming ----------------------------------------------------------------------------
@@ -777,7 +908,8 @@ def _stream(x: Inputs, flow: RequestFlow) -> None:
 
 
 def _store(x: Inputs) -> RequestStore:
-    return RequestStore(x.spark, new_folder(x.spark, "requests"))
+    # The requests cover years; folders by day suit a store of two weeks.
+    return RequestStore(x.spark, new_folder(x.spark, "requests"), buckets=4, age_unit=None)
 
 
 class _IngestOnly(RequestFlow):
@@ -823,14 +955,40 @@ def stream_latest_wins(x: Inputs) -> DataFrame:
     return _validated(x)[1]["orders"]
 
 
+@query
+def stream_retries(x: Inputs) -> DataFrame:
+    """Every order row arrives, and again a day and three days later; the stream keeps the first."""
+    arrivals = F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("_later")
+    orders = x.request_table("staging_user_orders").filter("request_id IS NOT NULL")
+    again = orders.select("*", arrivals).withColumn("ingested_at", F.col("ingested_at") + F.make_dt_interval("_later")).drop("_later")
+    source, sink = new_folder(x.spark, "arrivals"), new_folder(x.spark, "first-arrivals")
+    # Years one after the other, as a stream delivers them; a file source goes by file times.
+    again = materialize(again.withColumn("_year", F.year("ingested_at")), "arrivals")
+    for (year,) in again.select("_year").distinct().orderBy("_year").collect():
+        again.filter(F.col("_year") == year).drop("_year").coalesce(1).write.mode("append").parquet(source)
+    again = again.drop("_year")
+    stream = x.spark.readStream.schema(again.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = (
+        without_retries(stream, "14 days").writeStream.format("parquet").option("path", sink)
+        .option("checkpointLocation", new_folder(x.spark, "stream-checkpoint")).trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    kept = x.spark.read.schema(again.schema).parquet(sink)
+    return kept.groupBy("request_id").agg(F.count("*").alias("payloads"), F.min("ingested_at").cast("date").alias("first_arrival"))
+
+
 @query
 def stream_score(x: Inputs) -> DataFrame:
-    trained = _trained(x)
+    _, model, _ = _fast_model(x)
     parts = x.feature_parts()
     store = _store(x)
-    _stream(x, RequestFlow(store, parts["encodings"], parts["history"], lambda rows: models.score_requests(trained.model, rows)))
+    _stream(x, RequestFlow(store, parts["encodings"], parts["history"], lambda rows: models.score_requests(model, rows)))
     schema = T.StructType.fromDDL(
         "request_id string, risk_score double, median_days_until_second_purchase double, "
         "restricted_mean_survival_days double, note string"
     )
-    return store.of_last_batch("scores", schema)
+    shape = online.request_features(
+        online.pass_gate(online.validate(x.requests())), parts["encodings"], parts["history"]
+    ).schema
+    rows = online.complete_features(store.of_last_batch("features", shape))
+    return _checked_scores(store.of_last_batch("scores", schema), model, model.curves(rows, ["request_id"]))

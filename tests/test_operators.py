@@ -36,8 +36,8 @@ def test_ordered_prefix_split_equals_window(spark, group):
 
 
 def test_ordered_prefix_pieces_grow_with_the_rows(spark):
-    assert ordered.pieces_of(spark.range(1000), rows_per_piece=10) == 100
-    assert ordered.pieces_of(spark.range(1000)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ordered.pieces_of(1000, rows_per_piece=10) == 100
+    assert ordered.pieces_of(1000) == ordered.pieces_of(0) == 1
 
 
 def test_ordered_prefix_one_group_is_cut_into_pieces(spark):
@@ -160,3 +160,42 @@ def test_concordance_by_group(spark):
     df = spark.createDataFrame(data, "g string, t int, e boolean, r double")
     got = concordance(df, "t", "e", "r", ["g"])
     assert rows(got.select("g", "c_index"), "g") == [("a", 1.0), ("b", 0.0)]
+
+
+def test_concordance_of_fractional_durations_in_pieces(spark):
+    """Every duration differs, so the block of all rows has as many durations as rows."""
+    import random
+
+    from ledgerloom.operators.concordance import concordance
+
+    rng = random.Random(2)
+    data = [(rng.random() * 10, int(rng.random() < 0.6), rng.choice([0.5, 1.0, 2.0, rng.random()])) for _ in range(300)]
+    good = bad = ties = 0
+    for a in data:
+        for b in data:
+            if a[1] and (b[0] > a[0] or (b[0] == a[0] and not b[1] and a is not b)):
+                good, bad, ties = good + (a[2] > b[2]), bad + (a[2] < b[2]), ties + (a[2] == b[2])
+    df = spark.createDataFrame([*data, (None, 1, 3.0)], "days double, event int, risk double")
+    for pieces in (1, 7):
+        got = concordance(df, "days", "event", "risk", pieces=pieces).first()
+        assert (got["concordant"], got["discordant"], got["tied_risk"]) == (good, bad, ties)
+
+
+def test_kaplan_meier_in_pieces(spark):
+    import math
+    import random
+
+    from ledgerloom.plans.survival import kaplan_meier
+
+    rng = random.Random(6)
+    data = [(rng.choice([rng.random() * 9, 3.0, 5.5]), int(rng.random() < 0.5)) for _ in range(200)] + [(20.0, 1)]
+    want, s, h = [], 1.0, 0.0
+    for t in sorted({t for t, _ in data}):
+        at_risk, events = sum(u >= t for u, _ in data), sum(e for u, e in data if u == t)
+        s, h = s * (1 - events / at_risk), h + events / at_risk
+        want.append((t, at_risk, events, s, h))
+    df = spark.createDataFrame([*data, (None, 1)], "t double, e int")
+    for pieces in (1, 5):
+        got = kaplan_meier(df, "t", "e", pieces=pieces).orderBy("duration").collect()
+        assert [tuple(r)[:3] for r in got] == [w[:3] for w in want]
+        assert all(math.isclose(r[3], w[3], abs_tol=1e-9) and math.isclose(r[4], w[4], abs_tol=1e-9) for r, w in zip(got, want, strict=True))
