@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats
 def mix_sources(
     documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 7
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (copies * size) of each document.
+    """doc_id, size, source_size, target, copies and taken (copies * size) of each document, and
+    its number ``nth`` among equal rows.
 
     ``documents`` has doc_id, text and source. NULL and blank texts have size 0 and are never
     taken. Rows of repeated or NULL doc_ids are queued one by one. An empty table gives an empty
@@ -91,7 +92,6 @@ def mix_sources(
     # Copies per document; equal rows share theirs evenly, the first ones get the rest.
     key = ["doc_id", "source", "text_digest"]
     copies = taken.groupBy(*key).agg(F.count("*").alias("_copies"))
-    alike = Window.partitionBy(*key).orderBy(F.lit(0))
     rows = docs.groupBy(*key, "size").agg(F.count("*").alias("_rows"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in key]
     shared = rows.alias("r").join(copies.alias("c"), same, "left").select("r.*", F.coalesce("c._copies", F.lit(0)).alias("_copies"))
@@ -100,24 +100,38 @@ def mix_sources(
     each = each.withColumn("copies", share.cast("long"))
     each = each.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
     return each.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "text_digest"
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "text_digest",
+        F.col("_i").alias("nth"),
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs``, each as often as the mix takes it, with all their columns."""
-    mixed = mix_sources(docs, **options).filter("copies > 0")
-    # Rows of one doc_id are told apart by text and source, equal rows by their number.
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    plan = mixed.groupBy(key.alias("__key")).agg(
-        F.array_sort(F.collect_list(F.struct("text_digest", "source", "copies"))).alias("__plan")
+    """Rows of ``docs``, each as often as the mix takes it, with all their columns.
+
+    Rows meet their number of copies by doc_id, source and text; of rows equal in these, the n-th
+    in the order of a hash of all their columns takes the n-th share. Both meet in one exchange.
+    """
+    def mark(value: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("-"))
+
+    def key(digest: Column) -> Column:
+        return F.md5(F.concat_ws("|", digest, mark(F.col("doc_id")), mark(F.col("source")))).alias("_key")
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    none = F.lit(None)
+    texts = docs.select(
+        F.struct(*columns).alias("_row"), key(F.md5(F.coalesce(F.col("text"), F.lit("")))),
+        none.cast("long").alias("_copies"), F.xxhash64(*columns).alias("_order"),
     )
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.withColumns({"__digest": digest, "__key": key}).join(plan, "__key")
-    nth = F.row_number().over(Window.partitionBy("__key", "__digest", "source").orderBy(F.lit(0)))
-    mine = F.filter("__plan", lambda p: (p["text_digest"] == F.col("__digest")) & p["source"].eqNullSafe(F.col("source")))
-    joined = joined.withColumn("__nth", nth).withColumn("__copies", F.get(mine, F.col("__nth") - 1)["copies"])
-    repeated = joined.filter("__copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    plan = mix_sources(docs, **options).filter("copies > 0").select(
+        none.cast(texts.schema["_row"].dataType).alias("_row"), key(F.col("text_digest")),
+        F.col("copies").alias("_copies"), F.col("nth").cast("long").alias("_order"),
     )
-    return repeated.select(*docs.columns)
+    # Both numberings and the pairing reuse the exchange by key.
+    both = texts.unionByName(plan).repartition("_key")
+    nth = F.row_number().over(Window.partitionBy("_key", F.col("_row").isNull()).orderBy("_order"))
+    pair = Window.partitionBy("_key", "_nth")
+    met = both.withColumn("_nth", nth).withColumn("_copies", F.max("_copies").over(pair))
+    met = met.filter("_row IS NOT NULL AND _copies > 0")
+    repeated = met.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return repeated.select("_row.*")

@@ -301,3 +301,20 @@ def test_midstates_skip_the_left_siblings():
         changed = [*nodes[:at], sha(b"new"), *nodes[at + 1 :]]
         assert merkle.fold(grown, at, sha(b"new")) == brute_tree(changed)[0]
         assert merkle.fold(grown, at, nodes[at]) == top  # kept states are copied, never used up
+
+
+# ---- mixing ----------------------------------------------------------------------------------
+
+
+def test_mixing_rows_without_ids(spark):
+    """Rows of one doc_id, or of none, are told apart by text and source; equal ones by number."""
+    from ledgerloom.llm import mixing
+
+    many = spark.range(30_000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some words "), F.col("id") % 20_000).alias("text"),
+        F.lit("s").alias("source"), F.col("id").alias("extra"),
+    )
+    got = mixing.mixed_documents(many)
+    taken = mixing.mix_sources(many).agg(F.sum("copies")).first()[0]
+    assert got.count() == taken == 30_000 and got.select("extra").distinct().count() == 30_000
+    assert got.columns == many.columns
