@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.plans import clean, features
@@ -70,5 +72,7 @@ class Inputs:
         """All typed tables, each written once to shared storage."""
         return clean.clean_all(self.raw(), materialize_all, with_sequence=False, with_reviews=with_reviews)
 
+    @cached_property
     def feature_parts(self) -> dict[str, DataFrame]:
+        """Inputs of the purchase-time view, derived once for a query that also serves requests."""
         return features.feature_inputs(self.stored(with_reviews=False), materialize_all)

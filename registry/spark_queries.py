@@ -499,8 +499,11 @@ def customer_features_wide(x: Inputs) -> DataFrame:
     return rounded(features.wide_from_typed(x.stored(), materialize_all), "price_std")
 
 
+VIEW_PARTS = ("targets", "payments", "item_features", "history_to_date")
+
+
 def _view(x: Inputs) -> DataFrame:
-    return features.view_from_typed(x.stored(with_reviews=False), materialize_all)
+    return features.purchase_time_view(*(x.feature_parts[n] for n in VIEW_PARTS))
 
 
 @query
@@ -588,7 +591,7 @@ def _features(checked: dict[str, DataFrame], parts: dict[str, DataFrame]) -> Dat
 
 def _served(x: Inputs) -> tuple[dict[str, DataFrame], DataFrame]:
     """The typed tables' feature parts and the feature rows of all passed requests."""
-    parts = x.feature_parts()
+    parts = x.feature_parts
     return parts, _features(_checked(x), parts)
 
 
@@ -617,10 +620,8 @@ def online_features_refused(x: Inputs) -> DataFrame:
 
 @query
 def train_serve_parity(x: Inputs) -> DataFrame:
-    parts, served = _served(x)
-    names = ("targets", "payments", "item_features", "history_to_date")
-    offline = features.purchase_time_view(*(parts[n] for n in names))
-    return online.train_serve_parity(rounded(offline, "price_std"), rounded(served, "price_std"))
+    served = _served(x)[1]
+    return online.train_serve_parity(rounded(_view(x), "price_std"), rounded(served, "price_std"))
 
 
 # ---- sorts, upserts, retention ------------------------------------------------------------
@@ -669,7 +670,7 @@ def _online_tables(x: Inputs) -> tuple[RequestStore, dict[str, T.StructType]]:
     """The seven online tables and the refused rows, stored as by one batch of all requests."""
     raw = x.requests()
     checked = _checked(x, raw)
-    served = _features(checked, x.feature_parts())
+    served = _features(checked, x.feature_parts)
     frames = raw | {f"valid_{n}": checked[n] for n in VALID_KEYS}
     frames |= {"features": served, "refused_features": online.refused_features(served)}
     store = RequestStore(x.spark, new_folder(x.spark, "requests"), buckets=4, age_unit="year")
@@ -803,13 +804,14 @@ def _inside(value: Column, low: float, high: float) -> Column:
     return value.between(low, high).cast("int")
 
 
-def _fast_model(x: Inputs) -> tuple[models.Trained, models.HazardForestModel, DataFrame]:
-    """The published model's settings, fitted on the train split, stored, and read back."""
-    splits, names = _splits(x)
-    trained = models.train(splits, "order_id", names, metadata=models.TUNED)
+def _fast_model(x: Inputs) -> models.HazardForestModel:
+    """A forest of the published settings, fitted on the train split, stored, and read back."""
+    splits, _ = _splits(x)
+    forest = models.tuned_forest(models.TUNED)
+    trained = models.Trained(forest.fit(splits.filter("split = 'train'")), float("nan"), forest.value("features"))
     folder = new_folder(x.spark, "model")
     models.save(x.spark, trained, folder)
-    return trained, models.load(x.spark, folder), splits
+    return models.load(x.spark, folder)
 
 
 @query
@@ -844,7 +846,8 @@ def grid_search(x: Inputs) -> DataFrame:
 
 @query
 def model_metadata(x: Inputs) -> DataFrame:
-    trained, _, splits = _fast_model(x)
+    splits, names = _splits(x)
+    trained = models.train(splits, "order_id", names, metadata=models.TUNED)
     params = F.col("final_model_params")
     row = models.model_metadata(x.spark, trained).select(
         "model_type", "num_selected_features", params["numTrees"].alias("num_trees"), params["maxDepth"].alias("max_depth"),
@@ -890,7 +893,7 @@ def _checked_scores(scored: DataFrame, model: models.HazardForestModel, series:
 
 @query
 def score_requests(x: Inputs) -> DataFrame:
-    _, model, _ = _fast_model(x)
+    model = _fast_model(x)
     series = materialize(model.curves(online.complete_features(_served(x)[1]), ["request_id"]), "curves")
     return _checked_scores(models.score_curves(series), model, series)
 
@@ -901,7 +904,7 @@ def score_requests(x: Inputs) -> DataFrame:
 def _stream(x: Inputs, flow: RequestFlow) -> None:
     """Run all requests through the stream in several micro-batches."""
     source = new_folder(x.spark, "payloads")
-    request_source.pack_requests(*x.requests().values()).write.json(source)
+    request_source.pack_requests(*x.requests().values()).repartition(6).write.json(source)
     payloads = request_source.stream_requests(x.spark, source, files_per_batch=2)
     run = flow.start(payloads, new_folder(x.spark, "stream-checkpoint"))
     run.awaitTermination()
@@ -931,9 +934,8 @@ def stream_ingest(x: Inputs) -> DataFrame:
 def _validated(x: Inputs) -> tuple[RequestStore, dict[str, DataFrame]]:
     store = _store(x)
     _stream(x, RequestFlow(store))
-    shapes = online.validate(x.requests())
-    tables_now = {n: store.current(f"valid_{n}", shapes[n].schema, keys) for n, keys in VALID_KEYS.items()}
-    tables_now |= {n: store.of_last_batch(n, shapes[n].schema) for n in online.REJECTED_TABLES}
+    tables_now = {n: store.current(f"valid_{n}", store.schemas[f"valid_{n}"], keys) for n, keys in VALID_KEYS.items()}
+    tables_now |= {n: store.of_last_batch(n, store.schemas[n]) for n in online.REJECTED_TABLES}
     return store, tables_now
 
 
@@ -979,16 +981,9 @@ def stream_retries(x: Inputs) -> DataFrame:
 
 @query
 def stream_score(x: Inputs) -> DataFrame:
-    _, model, _ = _fast_model(x)
-    parts = x.feature_parts()
+    model = _fast_model(x)
+    parts = x.feature_parts
     store = _store(x)
     _stream(x, RequestFlow(store, parts["encodings"], parts["history"], lambda rows: models.score_requests(model, rows)))
-    schema = T.StructType.fromDDL(
-        "request_id string, risk_score double, median_days_until_second_purchase double, "
-        "restricted_mean_survival_days double, note string"
-    )
-    shape = online.request_features(
-        online.pass_gate(online.validate(x.requests())), parts["encodings"], parts["history"]
-    ).schema
-    rows = online.complete_features(store.of_last_batch("features", shape))
-    return _checked_scores(store.of_last_batch("scores", schema), model, model.curves(rows, ["request_id"]))
+    rows = online.complete_features(store.of_last_batch("features", store.schemas["features"]))
+    return _checked_scores(store.of_last_batch("scores", store.schemas["scores"]), model, model.curves(rows, ["request_id"]))
