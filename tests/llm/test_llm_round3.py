@@ -318,3 +318,19 @@ def test_mixing_rows_without_ids(spark):
     taken = mixing.mix_sources(many).agg(F.sum("copies")).first()[0]
     assert got.count() == taken == 30_000 and got.select("extra").distinct().count() == 30_000
     assert got.columns == many.columns
+
+
+def test_pipeline_runs_on_odd_rows(spark, edge, nothing, tmp_path):
+    """NULLs, empty and very long texts, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    benchmark = spark.createDataFrame([(1, "seven words is here"), (2, None), (3, "")], "item_id long, text string")
+    clash = edge.drop("_key", "_row", "_at", "_piece")
+    for name, docs in (("odd", clash), ("none", clash.filter("false"))):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        benchmark.write.parquet(str(folder / "benchmark.parquet"))
+        rows = sorted(corpus_pipeline.run(spark, str(folder)).collect(), key=lambda r: r["start"])
+        assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:i]) for i in range(len(rows))]
+        assert all(r["n_tokens"] > 1 for r in rows) and not {r["doc_id"] for r in rows} & {1, 2, 3}
+        assert bool(rows) == (name == "odd")
