@@ -88,8 +88,11 @@ def test_gate(spark):
 
 
 def test_order_belongs_to_one_request(spark):
-    got = checked(spark, [order("r2", at=T2), order("r1"), order("r3", "o3")], [], [])
-    assert rows(online.order_conflicts(got["orders"]).select("request_id")) == [("r2",)]
+    orders = [order("r2", at=T2), order("r1"), order("r3", "o3")]
+    complete = online.valid_orders(table(spark, "staging_user_orders", orders))
+    assert rows(online.order_conflicts(complete).select("request_id", "owner_id")) == [("r2", "r1")]
+    # Validation refuses the rows of the late request.
+    assert rows(checked(spark, orders, [], [])["orders"].select("request_id"), "request_id") == [("r1",), ("r3",)]
 
 
 def encodings(spark):
