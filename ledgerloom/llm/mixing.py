@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ordered import ordered_prefix
+from ledgerloom.operators.ordered import ordered_prefix, pieces_of
 from ledgerloom.session import materialize
 
 WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
@@ -73,10 +73,14 @@ def mix_sources(
     targets = materialize(targets, "mix_targets")
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
 
+    # A piece for every shuffle partition at least: one source may hold a large share of few rows.
+    rows, least = docs.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     # NULL is a queue of its own: queues are told apart by (is null, name).
     queue = docs.withColumns({"_null": F.col("source").isNull(), "_name": F.coalesce("source", F.lit(""))})
     sent = ordered_prefix(
-        queue, ["_null", "_name"], "_at", {"_before": F.col("size")}, store=False, ties=("doc_id", "text_digest")
+        queue, ["_null", "_name"], "_at", {"_before": F.col("size")}, store=False, ties=("doc_id", "text_digest"),
+        pieces=max(least, pieces_of(rows)),
     )
     sent = sent.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     passes = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
@@ -86,7 +90,8 @@ def mix_sources(
     ended = F.col("_pass") * F.col("source_size") + F.coalesce("_before", F.lit(0)) + F.col("size")
     queued = queued.withColumn("_finish", ended / F.col("target"))
     merged = ordered_prefix(
-        queued, [], "_finish", {"_sent": F.col("size")}, ties=("_at", "doc_id", "text_digest", "source", "_pass")
+        queued, [], "_finish", {"_sent": F.col("size")}, ties=("_at", "doc_id", "text_digest", "source", "_pass"),
+        pieces=max(least, pieces_of(repeats * rows)),
     )
     taken = merged.filter(F.coalesce("_sent", F.lit(0)) + F.col("size") <= budget)
     # Copies per document; equal rows share theirs evenly, the first ones get the rest.
