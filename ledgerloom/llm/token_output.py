@@ -30,6 +30,7 @@ CHUNK_TOKENS = 2_000_000
 PARTITION_BYTES = 20 << 20  # of text; a few chunks each
 CACHED_WORDS = 300_000
 CACHED_CHARACTERS = 16 << 20
+GROUP_CHARACTERS = 1 << 20
 
 FILE_SCHEMA = "part int, chunk int, before long, doc_ids array<long>, sizes array<long>, payload binary"
 _FILE_ARROW = pa.schema(
@@ -42,83 +43,136 @@ SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 # word is encoded by itself and a repeated word once; other texts go to the tokenizer as a whole.
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]|<\\|")
 _PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_PIECE_END = "</w>"
 
 
-class WordEncoder:
-    """Token ids of whole texts with a cache of words, bounded in words and in characters."""
+class _Known:
+    """Token ids of keys, bounded in keys and in characters.
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    When it is full, keys that were used again since the last time stay, the oldest first, up to half
+    of the bounds: rare keys make room and frequent ones are not learned again.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        # Whether an id ends a piece; a piece is what the tokenizer encodes by itself.
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith(_PIECE_END)]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+    def __init__(self) -> None:
+        self.places: dict[str, int] = {}
         self.characters = self.used = 0
         self.starts, self.sizes = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.again = np.zeros(1024, bool)
         self.ids = np.empty(4096, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        length = sum(map(len, new))
-        if self.known and (len(self.known) + len(new) > CACHED_WORDS or self.characters + length > CACHED_CHARACTERS):
-            self._forget()
-            new = list(dict.fromkeys(words))
-            length = sum(map(len, new))
-        ids, sizes = self._encode_words(new)
-        at, end = len(self.known), self.used + int(sizes.sum())
-        self.starts, self.sizes = _room(self.starts, at + len(new)), _room(self.sizes, at + len(new))
-        self.ids = _room(self.ids, end)
-        self.sizes[at : at + len(new)] = sizes
-        self.starts[at : at + len(new)] = self.used + np.cumsum(sizes) - sizes
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The place of each key, -1 if it is not known."""
+        at = np.fromiter(map(self.places.get, keys, repeat(-1)), np.int64, len(keys))
+        self.again[at[at >= 0]] = True
+        return at
+
+    def make_room(self, keys: list[str]) -> bool:
+        """Whether known keys had to go for these new ones."""
+        length = sum(map(len, keys))
+        full = len(self.places) + len(keys) > CACHED_WORDS or self.characters + length > CACHED_CHARACTERS
+        if not self.places or not full:
+            return False
+        old = list(self.places)
+        at = np.flatnonzero(self.again[: len(old)])[: CACHED_WORDS // 2]
+        lengths = np.fromiter((len(old[i]) for i in at.tolist()), np.int64, len(at))
+        at = at[np.cumsum(lengths) <= CACHED_CHARACTERS // 2]
+        ids, sizes = self.ids_of(at), self.sizes[at]
+        self.__init__()
+        self.add([old[i] for i in at.tolist()], ids, sizes)
+        return True
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at, end = len(self.places), self.used + len(ids)
+        self.starts, self.sizes = _room(self.starts, at + len(keys)), _room(self.sizes, at + len(keys))
+        self.again, self.ids = _room(self.again, at + len(keys)), _room(self.ids, end)
+        self.sizes[at : at + len(keys)] = sizes
+        self.starts[at : at + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.again[at : at + len(keys)] = False
         self.ids[self.used : end] = ids
-        self.known.update(zip(new, range(at, at + len(new))))
-        self.used, self.characters = end, self.characters + length
+        self.places.update(zip(keys, range(at, at + len(keys))))
+        self.used, self.characters = end, self.characters + sum(map(len, keys))
 
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words and their number per word.
-
-        One call for all words costs half of a call for each. The pieces tell where a word ends; if
-        they don't add up, the words are encoded one by one.
-        """
-        joined = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(joined.ids, np.uint32)
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        last = np.cumsum([len(_PIECES.findall(w)) for w in words])
-        if len(ends) == last[-1] and ends[-1] == len(ids):
-            return ids, np.diff(ends[last - 1], prepend=0)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if _NOT_PLAIN.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.lower().split()
-        at = list(map(self.known.get, words, repeat(-1)))
-        if -1 in at:
-            self._learn(words)
-            at = list(map(self.known.__getitem__, words))
-        at = np.array(at, np.int64)
+    def ids_of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of keys at these places, one after another."""
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(total)] if total else self.ids[:0]
 
 
+class WordEncoder:
+    """Token ids of whole texts. Known words are looked up, new words are put together from known
+    pieces, and only new pieces go to the tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # The same model for single pieces, which need neither normalizing nor splitting.
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.pieces = _Known(), _Known()
+
+    def _look_up(self, known: _Known, keys: list[str], encode) -> np.ndarray:
+        """Places of all keys, after learning the new ones."""
+        at = known.find(keys)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            lost = [keys[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lost))
+            if known.make_room(new):
+                # Some of the keys that were known may have gone, and all have new places.
+                missing, lost = np.arange(len(keys)), keys
+                new = [k for k in dict.fromkeys(keys) if k not in known.places]
+            known.add(new, *encode(new))
+            at[missing] = known.find(lost)
+        return at
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and their number per word."""
+        found = [_PIECES.findall(w) for w in words]
+        at = self._look_up(self.pieces, list(chain.from_iterable(found)), self._encode_pieces)
+        firsts = np.cumsum([0, *map(len, found)])[:-1]
+        return self.pieces.ids_of(at), np.add.reduceat(self.pieces.sizes[at], firsts)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and their number per piece."""
+        found = [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text. Texts are looked up together, about GROUP_CHARACTERS at a time."""
+        found: list[np.ndarray] = []
+        group: list[list[str]] = []
+        held = 0
+        for text in texts:
+            if text and _NOT_PLAIN.search(text):
+                found += self._encode_group(group)
+                found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                group, held = [], 0
+                continue
+            group.append(text.lower().split() if text else [])
+            held += len(text or "")
+            if held >= GROUP_CHARACTERS:
+                found += self._encode_group(group)
+                group, held = [], 0
+        return found + self._encode_group(group)
+
+    def _encode_group(self, texts: list[list[str]]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        at = self._look_up(self.words, list(chain.from_iterable(texts)), self._encode_words)
+        ends = np.cumsum([0, *map(len, texts)])
+        cuts = np.concatenate([[0], np.cumsum(self.words.sizes[at])])[ends]
+        return np.split(self.words.ids_of(at), cuts[1:-1])
+
+
 def _room(values: np.ndarray, n: int) -> np.ndarray:
     """The array, or a longer copy with room for at least n values."""
     if n <= len(values):
         return values
-    return np.concatenate([values, np.empty(max(n, 2 * len(values)) - len(values), values.dtype)])
+    return np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
 
 
 @lru_cache(maxsize=1)
@@ -155,8 +209,9 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str) -> None:
             return pa.RecordBatch.from_pylist([row], schema=_FILE_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(np.concatenate([encoder.encode(text), end]))
+            encoded = encoder.encode(batch.column(1).to_pylist())
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoded):
+                ids.append(np.concatenate([found, end]))
                 names.append(doc_id)
                 held += len(ids[-1])
                 if held >= CHUNK_TOKENS:

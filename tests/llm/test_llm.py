@@ -200,14 +200,20 @@ def test_coder_round_trip(ids):
             token_coder.decode(bytes(broken))
 
 
-def test_coder_groups_do_not_matter(monkeypatch):
+def test_coder_segments_of_many_ids(monkeypatch):
     rng = np.random.default_rng(5)
     ids = (rng.zipf(1.3, 60_001) % 3000).astype(np.uint32)
-    whole = token_coder.encode(ids)
-    monkeypatch.setattr(token_coder, "_CELLS", 50_000)
-    monkeypatch.setattr(token_coder, "_SLICE", 7000)
-    assert token_coder.encode(ids) == whole
-    assert np.array_equal(token_coder.decode(whole), ids)
+    monkeypatch.setattr(token_coder, "_ALPHABET", 500)
+    assert np.array_equal(token_coder.decode(token_coder.encode(ids)), ids)
+
+
+def test_coder_needs_less_than_order_0():
+    """Ids with repeated pairs take fewer bits than their frequencies alone allow."""
+    rng = np.random.default_rng(6)
+    pairs = rng.integers(0, 400, (300, 2))
+    ids = pairs[np.minimum(rng.geometric(0.03, 300_000) - 1, 299)].reshape(-1).astype(np.uint32)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert len(token_coder.encode(ids)) * 8 < len(ids) * -(share * np.log2(share)).sum()
 
 
 def expected_tokens(rows):
@@ -243,8 +249,10 @@ def test_words_equal_the_tokenizer(monkeypatch):
     rng = np.random.default_rng(3)
     alphabet = list("abtsrelm019 '_.,!<>|\t\n\r\x20") + ["'s", "'LL", "É", "ß", "ÿ", "×", "\u0301", "日", "\x7f", "\x1c", " the "]
     texts = ["".join(rng.choice(alphabet, n)) for n in rng.integers(0, 60, 400)] + ["word " * 50, "x" * 5000]
-    for text in texts * 2:
-        assert encoder.encode(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    want = [encoder.tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [x.tolist() for text in texts * 2 for x in encoder.encode([text])] == want * 2
+    monkeypatch.setattr(token_output, "GROUP_CHARACTERS", 100)
+    assert [x.tolist() for x in encoder.encode([None, "", *texts])] == [[], [], *want]
 
 
 def base_spans(text):
