@@ -100,9 +100,10 @@ def paged_scan(x: Inputs) -> DataFrame:
 
 
 def _exploded(x: Inputs) -> dict[str, DataFrame]:
-    raw = x.requests()
+    """Packing reads each request table once, so none is stored first; the payload text is compressed."""
+    raw = {name: x.fixture(name) for name in schemas.REQUEST_COLUMNS}
     path = new_folder(x.spark, "payloads")
-    request_source.pack_requests(*raw.values()).write.json(path)
+    request_source.pack_requests(*raw.values()).write.option("compression", "gzip").json(path)
     parts = request_source.explode_requests(request_source.read_requests(x.spark, path))
     return {name: df.filter("request_id IS NOT NULL") for name, df in parts.items()}
 
