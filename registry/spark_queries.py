@@ -538,7 +538,7 @@ def online_orders_rejected(x: Inputs) -> DataFrame:
 
 
 def _checked(x: Inputs, raw: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    return online.validate(raw or x.requests(), materialize_all)
+    return online.validate(raw or x.keyed_requests(), x.by_request)
 
 
 @query
@@ -571,7 +571,7 @@ def online_items_rejected(x: Inputs) -> DataFrame:
 
 @query
 def rejected_gate(x: Inputs) -> DataFrame:
-    raw = x.requests()
+    raw = x.keyed_requests()
     return online.rejected_gate(_checked(x, raw), raw["staging_user_orders"])
 
 

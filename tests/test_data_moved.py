@@ -6,8 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from conftest import SF, rows
-from ledgerloom.plans import items
+from conftest import SF
+from ledgerloom.plans import items, online
 from ledgerloom.session import buckets_of, materialize, materialize_by, small
 from registry import spark_queries
 from registry.inputs import Inputs
@@ -57,3 +57,17 @@ def test_buckets_follow_the_rows_and_small_frames_alone_are_broadcast(spark, mon
     monkeypatch.setattr("ledgerloom.session.BROADCAST_ROWS", 3)
     hinted = [small(spark.range(n))._jdf.queryExecution().analyzed().toString() for n in (3, 4)]
     assert "broadcast" in hinted[0] and "broadcast" not in hinted[1]
+
+
+def test_keyed_requests_are_checked_in_their_buckets(spark):
+    x = Inputs(spark, SF)
+    raw = x.keyed_requests()["staging_user_orders"]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        valid = x.by_request({"valid_orders": online.valid_orders(raw)})["valid_orders"]
+        got = online.rejected_orders(raw, valid)
+        assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
