@@ -45,13 +45,51 @@ TWO_DECIMALS = [
 ]
 
 
+# The typed request id, where it is kept beside the raw rows, and what it cut off.
+TYPED_ID = "_request"
+ID_REST = "_request_rest"
+ID_LENGTH = 50
+
+
 # ---- typed rows -------------------------------------------------------------------------
 
 
+def split_id(raw: DataFrame) -> DataFrame:
+    """Raw rows with the typed request id and the rest of the raw one in place of it. Rows stored in
+    buckets of the typed id are checked where they lie, as the typed rows go by the same column."""
+    rest = F.when(F.length("request_id") > ID_LENGTH, F.substr("request_id", F.lit(ID_LENGTH + 1)))
+    others = [c for c in raw.columns if c != "request_id"]
+    return raw.select(casts.varchar("request_id", ID_LENGTH).alias(TYPED_ID), rest.alias(ID_REST), *others)
+
+
+def whole_id(split: DataFrame) -> DataFrame:
+    """The raw rows again, first the raw id, with the typed id beside them; results do not hold it."""
+    whole = F.when(F.col(ID_REST).isNull(), F.col(TYPED_ID)).otherwise(F.concat(TYPED_ID, ID_REST))
+    others = [c for c in split.columns if c not in (TYPED_ID, ID_REST)]
+    return split.select(whole.alias("request_id"), *others, TYPED_ID)
+
+
+def _typed_id(raw: DataFrame) -> Column:
+    return F.col(TYPED_ID) if TYPED_ID in raw.columns else casts.varchar("request_id", ID_LENGTH)
+
+
+def _raw_columns(raw: DataFrame) -> list[str]:
+    return [c for c in raw.columns if c != TYPED_ID]
+
+
+def _join_valid(raw: DataFrame, valid: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Semi or anti join by the raw request id and more. A valid row's id is a typed one, so a raw id
+    that equals it equals its own typed id too: that key changes no result."""
+    if TYPED_ID not in raw.columns:
+        return raw.join(valid, keys, how)
+    return raw.join(valid.withColumn(TYPED_ID, F.col("request_id")), [TYPED_ID, *keys], how)
+
+
 def valid_orders(raw: DataFrame) -> DataFrame:
     """Newest complete order row of each request."""
     typed = raw.select(
-        *(casts.varchar(c, 50).alias(c) for c in ("request_id", "order_id", "customer_id", "customer_unique_id")),
+        _typed_id(raw).alias("request_id"),
+        *(casts.varchar(c, 50).alias(c) for c in ("order_id", "customer_id", "customer_unique_id")),
         casts.digits_to_int("customer_zip").alias("customer_zip"),
         casts.varchar("customer_city", 50).alias("customer_city"),
         casts.varchar("customer_state", 3).alias("customer_state"),
@@ -70,7 +108,7 @@ def _of_known_order(typed: DataFrame, orders: DataFrame) -> DataFrame:
 
 def valid_payments(raw: DataFrame, orders: DataFrame) -> DataFrame:
     typed = raw.select(
-        casts.varchar("request_id", 50).alias("request_id"),
+        _typed_id(raw).alias("request_id"),
         casts.varchar("order_id", 50).alias("order_id"),
         casts.digits_to_int("payment_sequential").alias("payment_sequential"),
         F.coalesce(casts.varchar("payment_type", 25), F.lit(DEFAULT_PAYMENT_TYPE)).alias("payment_type"),
@@ -84,7 +122,7 @@ def valid_payments(raw: DataFrame, orders: DataFrame) -> DataFrame:
 
 def valid_items(raw: DataFrame, orders: DataFrame) -> DataFrame:
     typed = raw.select(
-        casts.varchar("request_id", 50).alias("request_id"),
+        _typed_id(raw).alias("request_id"),
         casts.varchar("order_id", 50).alias("order_id"),
         casts.digits_to_int("item_id").alias("item_id"),
         casts.varchar("product_id", 50).alias("product_id"),
@@ -143,9 +181,9 @@ def rejected_orders(raw: DataFrame, valid: DataFrame) -> DataFrame:
         _bad("customer_zip", casts.DIGITS_TEXT), _null("customer_city"), _null("customer_state"),
         _bad_date("purchase_date"),
     ]
-    lost = raw.join(valid.select("request_id"), "request_id", "left_anti")
+    lost = _join_valid(raw, valid.select("request_id"), ["request_id"], "left_anti")
     return lost.withColumn("rejected_reason", _reason(rules, "staging_user_orders")).select(
-        *raw.columns, "rejected_reason"
+        *_raw_columns(raw), "rejected_reason"
     )
 
 
@@ -153,7 +191,7 @@ def _lost_rows(raw: DataFrame, valid: DataFrame, number: str) -> DataFrame:
     """Rows with no valid row of the same request, order and number."""
     keyed = raw.withColumn("_number", casts.digits_to_int(number))
     known = valid.select("request_id", "order_id", F.col(number).alias("_number"))
-    return keyed.join(known, ["request_id", "order_id", "_number"], "left_anti")
+    return _join_valid(keyed, known, ["request_id", "order_id", "_number"], "left_anti")
 
 
 def rejected_payments(raw: DataFrame, valid: DataFrame) -> DataFrame:
@@ -164,7 +202,7 @@ def rejected_payments(raw: DataFrame, valid: DataFrame) -> DataFrame:
     ]
     reason = _reason(rules, "staging_user_payments", "payment_sequential")
     return _lost_rows(raw, valid, "payment_sequential").withColumn("rejected_reason", reason).select(
-        *raw.columns, "rejected_reason"
+        *_raw_columns(raw), "rejected_reason"
     )
 
 
@@ -178,7 +216,7 @@ def rejected_items(raw: DataFrame, valid: DataFrame) -> DataFrame:
     ]
     reason = _reason(rules, "staging_user_order_items", "item_id")
     return _lost_rows(raw, valid, "item_id").withColumn("rejected_reason", reason).select(
-        *raw.columns, "rejected_reason"
+        *_raw_columns(raw), "rejected_reason"
     )
 
 
@@ -252,13 +290,17 @@ def rejected_reasons(checked: dict[str, DataFrame]) -> DataFrame:
     return _all_rejected(checked).filter("rejected_reason IS NOT NULL").select("request_id", "rejected_reason")
 
 
-def pass_gate(checked: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Valid rows of the requests without any refused row."""
+def pass_gate(checked: dict[str, DataFrame], keep: Keep = unstored) -> dict[str, DataFrame]:
+    """Valid rows of the requests without any refused row. ``keep`` stores them, as features read them
+    several times."""
     held = _all_rejected(checked).select("request_id").distinct()
-    return {
-        name: checked[name].join(held, "request_id", "left_anti").select(*checked[name].columns)
-        for name in ("orders", "payments", "items")
-    }
+    held = keep({"held_requests": held})["held_requests"]
+    return keep(
+        {
+            name: checked[name].join(held, "request_id", "left_anti").select(*checked[name].columns)
+            for name in ("orders", "payments", "items")
+        }
+    )
 
 
 CONFLICT = "order_id belongs to another request"
@@ -290,7 +332,7 @@ def order_conflicts(orders: DataFrame, known: DataFrame | None = None) -> DataFr
 def refused_conflicts(raw: DataFrame, complete: DataFrame, owned: DataFrame) -> DataFrame:
     """All order rows of the requests that have a complete order row but not the order."""
     late = complete.join(owned.select("request_id"), "request_id", "left_anti").select("request_id")
-    lost = raw.join(late, "request_id", "left_semi").select(*raw.columns)
+    lost = _join_valid(raw, late, ["request_id"], "left_semi").select(*_raw_columns(raw))
     return lost.withColumn("rejected_reason", F.lit(f"{CONFLICT} in table staging_user_orders"))
 
 

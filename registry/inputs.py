@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import clean, features
+from ledgerloom.plans import clean, features, online
 from ledgerloom.session import Keep, buckets_of, configure, materialize, materialize_all, materialize_by
 from ledgerloom.sources import schemas
 from registry.fixtures import spark_sql
@@ -41,8 +42,10 @@ class Inputs:
         return materialize_all({name: self.fixture(name) for name in schemas.REQUEST_COLUMNS})
 
     def keyed_requests(self) -> dict[str, DataFrame]:
-        """The same rows in buckets of requests, as validation, gate and features go by request."""
-        return self.by_request({name: self.fixture(name) for name in schemas.REQUEST_COLUMNS})
+        """The same rows in buckets of typed request ids, as validation, gate and features go by request."""
+        frames = {name: online.split_id(self.fixture(name)) for name in schemas.REQUEST_COLUMNS}
+        stored = materialize_by(online.TYPED_ID, self.buckets)(frames)
+        return {name: online.whole_id(df) for name, df in stored.items()}
 
     @cached_property
     def buckets(self) -> int:
@@ -54,7 +57,14 @@ class Inputs:
 
     @property
     def by_request(self) -> Keep:
-        return materialize_by("request_id", self.buckets)
+        """Refused rows stay part of their reader's plan: each query reads them once, and few of their columns."""
+        bucketed = materialize_by("request_id", self.buckets)
+
+        def keep(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+            stored = {name: df for name, df in frames.items() if name not in online.REJECTED_TABLES}
+            return {**frames, **(bucketed(stored) if stored else {})}
+
+        return keep
 
     # Typed tables, straight from the raw tables.
 

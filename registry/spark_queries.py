@@ -585,8 +585,8 @@ def online_order_conflicts(x: Inputs) -> DataFrame:
     return online.order_conflicts(online.valid_orders(x.request_table("shared_orders")))
 
 
-def _features(checked: dict[str, DataFrame], parts: dict[str, DataFrame]) -> DataFrame:
-    passed = online.pass_gate(checked)
+def _features(x: Inputs, checked: dict[str, DataFrame], parts: dict[str, DataFrame]) -> DataFrame:
+    passed = online.pass_gate(checked, x.by_request)
     merged = online.history_of_requests(passed, parts["history"])
     return materialize(online.request_features(passed, parts["encodings"], merged), "request_features")
 
@@ -594,7 +594,7 @@ def _features(checked: dict[str, DataFrame], parts: dict[str, DataFrame]) -> Dat
 def _served(x: Inputs) -> tuple[dict[str, DataFrame], DataFrame]:
     """The typed tables' feature parts and the feature rows of all passed requests."""
     parts = x.feature_parts
-    return parts, _features(_checked(x), parts)
+    return parts, _features(x, _checked(x), parts)
 
 
 @query
@@ -606,7 +606,7 @@ def online_constraint_violations(x: Inputs) -> DataFrame:
 @query
 def history_upsert(x: Inputs) -> DataFrame:
     base = history.seller_history_base(x.items(), x.orders())
-    passed = online.pass_gate(_checked(x))
+    passed = online.pass_gate(_checked(x), x.by_request)
     return history.upsert_history(base, history.online_history(passed["orders"], passed["items"])).drop("created_at")
 
 
@@ -672,7 +672,7 @@ def _online_tables(x: Inputs) -> tuple[RequestStore, dict[str, T.StructType]]:
     """The seven online tables and the refused rows, stored as by one batch of all requests."""
     raw = x.requests()
     checked = _checked(x, raw)
-    served = _features(checked, x.feature_parts)
+    served = _features(x, checked, x.feature_parts)
     frames = raw | {f"valid_{n}": checked[n] for n in VALID_KEYS}
     frames |= {"features": served, "refused_features": online.refused_features(served)}
     store = RequestStore(x.spark, new_folder(x.spark, "requests"), buckets=4, age_unit="year")

@@ -71,3 +71,37 @@ def test_keyed_requests_are_checked_in_their_buckets(spark):
         assert got.count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_rows_below_the_order_are_checked_in_their_buckets(spark):
+    x = Inputs(spark, SF)
+    raw = x.keyed_requests()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = x.by_request({"valid_orders": online.valid_orders(raw["staging_user_orders"])})["valid_orders"]
+        valid = online.valid_items(raw["staging_user_order_items"], orders)
+        stored = x.by_request({"valid_items": valid})["valid_items"]
+        refused = online.rejected_items(raw["staging_user_order_items"], stored)
+        for got in (valid, refused):
+            assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+            assert got.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_ids_longer_than_the_typed_ones_are_refused_whole(spark):
+    """Two raw ids with the same first 50 characters meet in a bucket and stay two ids."""
+    long, same = "r" * 50 + "x", "r" * 50
+    plain = Inputs(spark, SF).fixture("staging_user_order_items").limit(20).localCheckpoint()
+    rows = plain.withColumn("request_id", F.when(F.col("item_id") == "1", long).when(F.col("item_id") == "2", same).otherwise(F.col("request_id")))
+    rows = rows.unionByName(rows.limit(1).withColumn("request_id", F.lit(None).cast("string")))
+    split = materialize_by(online.TYPED_ID, 3)({"rows": online.split_id(rows)})["rows"]
+    raw = online.whole_id(split)
+    again = raw.drop(online.TYPED_ID)
+    assert again.columns == rows.columns and again.exceptAll(rows).isEmpty() and again.count() == rows.count()
+    orders = rows.select(F.left("request_id", F.lit(50)).alias("request_id"), "order_id").dropna().distinct()
+    for check in (online.valid_items, lambda r, o: online.rejected_items(r, online.valid_items(r, o))):
+        got, want = check(raw, orders), check(rows, orders)
+        assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+    assert online.rejected_items(raw, online.valid_items(raw, orders)).filter(F.col("request_id") == long).count() > 0
