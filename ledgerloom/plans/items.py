@@ -18,6 +18,14 @@ CATEGORY = ["product_category", "product_category_encoding"]
 SELLER = ["seller_id", "zip_code", "seller_city", "seller_state", "state_encoding"]
 
 
+def with_sellers(
+    items: DataFrame, sellers: DataFrame, states: DataFrame, sized: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    """Items with the attributes and the encoded state of their sellers."""
+    known = states.filter("seller_state IS NOT NULL")
+    return items.join(sized(sellers.join(known, "seller_state", "left")), "seller_id", "left")
+
+
 def order_items_joined(
     items: DataFrame,
     products: DataFrame,
@@ -28,8 +36,6 @@ def order_items_joined(
     """Items with product, category and seller attributes. Without ``sized`` (see ``session.small``) sellers and
     categories are joined without hints: the adaptive engine broadcasts those whose measured size is
     small. Items that already hold their category name do not meet the products again."""
-    states = encodings["state"].filter("seller_state IS NOT NULL")
-    seller_rows = sized(sellers.join(states, "seller_state", "left"))
 
     def encoded(rows: DataFrame) -> DataFrame:
         categories = sized(encodings["category"].withColumnRenamed("product_category", "_cat"))
@@ -42,14 +48,10 @@ def order_items_joined(
     else:
         product_rows = encoded(products.select("product_id", "product_category_name"))
         with_product = items.join(product_rows, "product_id", "left")
-    return (
-        with_product
-        .join(seller_rows, "seller_id", "left")
-        .select(
-            "order_id", "item_id", "product_id", "shipping_limit_date", "price", "freight_value",
-            "product_category_name", "product_category", "product_category_english", "product_category_encoding",
-            *SELLER,
-        )
+    return with_sellers(with_product, sellers, encodings["state"], sized).select(
+        "order_id", "item_id", "product_id", "shipping_limit_date", "price", "freight_value",
+        "product_category_name", "product_category", "product_category_english", "product_category_encoding",
+        *SELLER,
     )
 
 

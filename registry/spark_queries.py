@@ -16,7 +16,7 @@ from ledgerloom.operators import parents, upsert
 from ledgerloom.operators.dedupe import dedupe_latest, dedupe_total_order
 from ledgerloom.operators.ordered import pieces_of
 from ledgerloom.plans import checks, clean, encode, features, history, items, models, online, reject, rollups, survival
-from ledgerloom.session import materialize, materialize_all, new_folder
+from ledgerloom.session import materialize, materialize_all, new_folder, small
 from ledgerloom.sources import requests as request_source
 from ledgerloom.sources import schemas, tables
 from ledgerloom.sources.stored import StoredTable
@@ -486,8 +486,12 @@ def review_timing_features(x: Inputs) -> DataFrame:
 
 @query
 def same_state_order(x: Inputs) -> DataFrame:
-    sellers = items.top_seller(_joined(x))
-    rows = features.order_targets(x.orders(), x.customers()).join(sellers, "order_id")
+    orders, sellers = materialize(x.orders(), "orders"), materialize(x.sellers(), "sellers")
+    customers = clean.clean_customers(x.fixture("staging_customers"), orders)
+    typed = clean.clean_item_orders(x.fixture("staging_item_orders"), orders, small(sellers), x.products())
+    # The seller of an order takes no product columns.
+    top = items.top_seller(items.with_sellers(typed, sellers, encode.encode_state(sellers), small))
+    rows = features.order_targets(orders, customers).join(top, "order_id")
     return rows.select("order_id", "val_seller_id", features.same_state_order().alias("same_state_order"))
 
 

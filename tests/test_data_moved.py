@@ -105,3 +105,16 @@ def test_ids_longer_than_the_typed_ones_are_refused_whole(spark):
         got, want = check(raw, orders), check(rows, orders)
         assert got.columns == want.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
     assert online.rejected_items(raw, online.valid_items(raw, orders)).filter(F.col("request_id") == long).count() > 0
+
+
+def test_same_state_order_sends_items_by_product_once(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = spark_queries.QUERIES["same_state_order"](spark, SF)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # The items once; the products by id for their dedupe and after they met their categories.
+        assert plan.count("Exchange hashpartitioning(product_id") == 3
+        assert got.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
