@@ -56,10 +56,11 @@ ID_LENGTH = 50
 
 def split_id(raw: DataFrame) -> DataFrame:
     """Raw rows with the typed request id and the rest of the raw one in place of it. Rows stored in
-    buckets of the typed id are checked where they lie, as the typed rows go by the same column."""
+    buckets of the typed id are checked where they lie, as the typed rows go by the same column. Rows
+    that were dealt by their typed id hold it already."""
     rest = F.when(F.length("request_id") > ID_LENGTH, F.substr("request_id", F.lit(ID_LENGTH + 1)))
-    others = [c for c in raw.columns if c != "request_id"]
-    return raw.select(casts.varchar("request_id", ID_LENGTH).alias(TYPED_ID), rest.alias(ID_REST), *others)
+    others = [c for c in raw.columns if c not in ("request_id", TYPED_ID)]
+    return raw.select(_typed_id(raw).alias(TYPED_ID), rest.alias(ID_REST), *others)
 
 
 def whole_id(split: DataFrame) -> DataFrame:
@@ -290,11 +291,13 @@ def rejected_reasons(checked: dict[str, DataFrame]) -> DataFrame:
     return _all_rejected(checked).filter("rejected_reason IS NOT NULL").select("request_id", "rejected_reason")
 
 
-def pass_gate(checked: dict[str, DataFrame], keep: Keep = unstored) -> dict[str, DataFrame]:
+def pass_gate(
+    checked: dict[str, DataFrame], keep: Keep = unstored, held_requests: Keep | None = None
+) -> dict[str, DataFrame]:
     """Valid rows of the requests without any refused row. ``keep`` stores them, as features read them
-    several times."""
+    several times; ``held_requests`` stores the requests held at the gate where the rows are read once."""
     held = _all_rejected(checked).select("request_id").distinct()
-    held = keep({"held_requests": held})["held_requests"]
+    held = (held_requests or keep)({"held_requests": held})["held_requests"]
     return keep(
         {
             name: checked[name].join(held, "request_id", "left_anti").select(*checked[name].columns)

@@ -8,9 +8,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.plans import clean, features, online
-from ledgerloom.session import Keep, buckets_of, configure, materialize, materialize_all, materialize_by
+from ledgerloom.session import BROADCAST_ROWS, Keep, buckets_of, configure, materialize, materialize_all, materialize_by
 from ledgerloom.sources import schemas
-from registry.fixtures import spark_sql
+from registry.fixtures import dealt_sql, spark_sql
 
 SOURCES = ("customer", "supplier", "part", "orders", "lineitem")
 
@@ -43,7 +43,9 @@ class Inputs:
 
     def keyed_requests(self) -> dict[str, DataFrame]:
         """The same rows in buckets of typed request ids, as validation, gate and features go by request."""
-        frames = {name: online.split_id(self.fixture(name)) for name in schemas.REQUEST_COLUMNS}
+        few = self.spark.table("supplier").count() <= BROADCAST_ROWS
+        below = {n: self.spark.sql(dealt_sql(n, self.buckets, few)) for n in schemas.REQUEST_COLUMNS if n != "staging_user_orders"}
+        frames = {n: online.split_id(below[n] if n in below else self.fixture(n)) for n in schemas.REQUEST_COLUMNS}
         stored = materialize_by(online.TYPED_ID, self.buckets)(frames)
         return {name: online.whole_id(df) for name, df in stored.items()}
 

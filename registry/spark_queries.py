@@ -610,7 +610,7 @@ def online_constraint_violations(x: Inputs) -> DataFrame:
 @query
 def history_upsert(x: Inputs) -> DataFrame:
     base = history.seller_history_base(x.items(), x.orders())
-    passed = online.pass_gate(_checked(x), x.by_request)
+    passed = online.pass_gate(_checked(x), held_requests=x.by_request)
     return history.upsert_history(base, history.online_history(passed["orders"], passed["items"])).drop("created_at")
 
 

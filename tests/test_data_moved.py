@@ -10,6 +10,7 @@ from conftest import SF
 from ledgerloom.plans import items, online
 from ledgerloom.session import buckets_of, materialize, materialize_by, small
 from registry import spark_queries
+from registry.fixtures import dealt_sql
 from registry.inputs import Inputs
 
 
@@ -118,3 +119,21 @@ def test_same_state_order_sends_items_by_product_once(spark):
         assert got.count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_request_rows_go_by_request_before_they_get_their_text(spark):
+    x = Inputs(spark, SF)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, exchanges in (("staging_user_order_items", 4), ("staging_user_payments", 2)):
+            for buckets in (8, 16):
+                got = online.split_id(x.spark.sql(dealt_sql(name, buckets, True))).repartition(buckets, online.TYPED_ID)
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                # Both sides of the join by part, and both of that by request; none after the text is made.
+                assert plan.count("Exchange hashpartitioning") == exchanges
+            whole, want = online.whole_id(got).drop(online.TYPED_ID), x.fixture(name)
+            assert whole.schema == want.schema and whole.count() == want.count() > 0
+            assert whole.exceptAll(want).isEmpty() and want.exceptAll(whole).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
