@@ -4,14 +4,36 @@ audit of every dropped row. Both come from one ordered rule list per table."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import casts
 from ledgerloom.operators.dedupe import dedupe_total_order
 from ledgerloom.operators.parents import mark_missing
 from ledgerloom.operators.rules import Rule, first_reason, refused
+from ledgerloom.plans import clean
+
+
+def _no_order(raw: DataFrame, orders: DataFrame) -> DataFrame:
+    """Mark ``order_id NOT IN orders``. A raw id that equals a typed one equals its own typed id, so rows
+    dealt by the typed id are joined by it too."""
+    if clean.TYPED_ORDER not in raw.columns:
+        return mark_missing(raw, "order_id", orders, "_no_order")
+    keys = orders.select("order_id").dropna().distinct()
+    keys = keys.select(F.col("order_id").alias(clean.TYPED_ORDER), "order_id", F.lit(True).alias("_known"))
+    marked = raw.join(keys, [clean.TYPED_ORDER, "order_id"], "left")
+    return marked.select(*raw.columns, F.when(F.col("order_id").isNotNull(), F.col("_known").isNull()).alias("_no_order"))
+
+
+def _no_product(raw: DataFrame, products: DataFrame) -> DataFrame:
+    if clean.PRODUCT_CATEGORY not in raw.columns:
+        return mark_missing(raw, "product_id", products, "_no_product")
+    # The category was found by the typed id, which a longer raw id is not.
+    missing = F.col(clean.PRODUCT_CATEGORY).isNull() | (F.length("product_id") > clean.ID_LENGTH)
+    return raw.withColumn("_no_product", F.when(F.col("product_id").isNotNull(), missing))
 
 
 def _null(column: str, reason: str) -> Rule:
@@ -54,9 +76,9 @@ def _product_rules(raw: DataFrame, categories: DataFrame) -> tuple[DataFrame, li
 def _item_rules(
     raw: DataFrame, orders: DataFrame, sellers: DataFrame, products: DataFrame
 ) -> tuple[DataFrame, list[Rule]]:
-    marked = mark_missing(raw, "order_id", orders, "_no_order")
+    marked = _no_order(raw, orders)
     marked = mark_missing(marked, "seller_id", sellers, "_no_seller")
-    marked = mark_missing(marked, "product_id", products, "_no_product")
+    marked = _no_product(marked, products)
     return marked, [
         _null("order_id", "NULL order_id"),
         _null("item_id", "NULL item_id"),
@@ -80,7 +102,7 @@ def _customer_rules(raw: DataFrame, orders: DataFrame) -> tuple[DataFrame, list[
 
 
 def _payment_rules(raw: DataFrame, orders: DataFrame) -> tuple[DataFrame, list[Rule]]:
-    return mark_missing(raw, "order_id", orders, "_no_order"), [
+    return _no_order(raw, orders), [
         _null("order_id", "NULL order_id"),
         _not(F.trim("payment_value"), casts.DECIMAL_TEXT, "Incorrect payment_value format"),
         (F.col("payment_value").isNull(), None),
@@ -89,7 +111,7 @@ def _payment_rules(raw: DataFrame, orders: DataFrame) -> tuple[DataFrame, list[R
 
 
 def _review_rules(raw: DataFrame, orders: DataFrame) -> tuple[DataFrame, list[Rule]]:
-    return mark_missing(raw, "order_id", orders, "_no_order"), [
+    return _no_order(raw, orders), [
         _null("review_id", "NULL review_id"),
         _null("order_id", "NULL order_id"),
         _null("review_score", "NULL review_score"),
@@ -169,17 +191,27 @@ def _audit(
     """
     marked, rules = marked_rules
     problem = first_reason([*(r for r in rules if r[1] is not None), *more])
-    winner = dedupe_total_order(raw.na.drop(subset=list(required)), keys).withColumn("_wins", F.lit(True))
-    counted = marked.groupBy(*marked.columns).agg(F.count("*").alias("copies"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"w.{c}")) for c in raw.columns]
-    joined = counted.alias("a").join(winner.alias("w"), same, "left").select("a.*", F.col("w._wins").alias("_wins"))
+    columns = clean.raw_columns(raw)
+    dealt = [clean.TYPED_ORDER] if clean.TYPED_ORDER in raw.columns else []
+    whole = reduce(and_, (F.col(c).isNotNull() for c in required))
+    groups = marked.groupBy(*marked.columns).agg(F.count("*").alias("copies"))
+    if dealt:
+        # Rows of a key lie together, so the winner is found among them, as in the cleaning. Incomplete rows
+        # never win: they come after the whole ones.
+        rest = [F.col(c).asc_nulls_last() for c in columns if c not in keys]
+        first = F.row_number().over(Window.partitionBy(*dealt, *keys).orderBy(whole.desc(), *rest)) == 1
+        joined = groups.withColumn("_wins", whole & first)
+    else:
+        winner = dedupe_total_order(raw.na.drop(subset=list(required)), keys).withColumn("_wins", F.lit(True))
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"w.{c}")) for c in columns]
+        joined = groups.alias("a").join(winner.alias("w"), same, "left").select("a.*", F.col("w._wins").alias("_wins"))
     kept = F.when(F.col("_wins") & F.col("_problem").isNull(), 1).otherwise(0)
     return (
         joined.withColumn("_problem", problem)
         .withColumn("copies", F.col("copies") - kept)
         .withColumn("rejected_reason", F.coalesce("_problem", F.lit(f"duplicate {', '.join(keys)}")))
         .filter("copies > 0")
-        .select(*raw.columns, "copies", "rejected_reason")
+        .select(*columns, "copies", "rejected_reason")
     )
 
 
@@ -215,7 +247,7 @@ def audit_all(raw: dict[str, DataFrame], typed: dict[str, DataFrame]) -> dict[st
             _product_rules(raw["staging_products"], typed["product_category"]),
         ),
         "item_orders": _audit(
-            items, ["order_id", "item_id"], [c for c in items.columns if c != "freight_value"],
+            items, ["order_id", "item_id"], [c for c in clean.raw_columns(items) if c != "freight_value"],
             _item_rules(items, orders, typed["sellers"], typed["products"]),
             [
                 _lost(F.col("price"), "NULL price"),

@@ -96,6 +96,16 @@ class Inputs:
     def reviews(self) -> DataFrame:
         return clean.clean_reviews(self.fixture("staging_reviews"), self.orders())
 
+    def keyed_raw(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """The raw tables, those with an order id stored once in buckets of it, and the typed tables made for that.
+        Items hold the category of their product."""
+        raw = self.raw()
+        known = materialize_all({"product_category": self.categories(), "products": self.products()})
+        items = clean.with_product_category(raw["staging_item_orders"], known["products"])
+        below = {n: raw[n] for n in ("staging_orders", "staging_payments", "staging_reviews")} | {"staging_item_orders": items}
+        split = materialize_by(clean.TYPED_ORDER, self.buckets)({n: clean.split_order(df) for n, df in below.items()})
+        return raw | {n: clean.whole_order(df, below[n].columns) for n, df in split.items()}, known
+
     def stored(self, with_reviews: bool = True) -> dict[str, DataFrame]:
         """All typed tables, each written once to shared storage, in buckets of orders."""
         return clean.clean_all(self.raw(), self.by_order, with_sequence=False, with_reviews=with_reviews, with_category=True)

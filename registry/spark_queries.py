@@ -302,7 +302,9 @@ def audit_orders(x: Inputs) -> DataFrame:
 
 @query
 def audit_totals(x: Inputs) -> DataFrame:
-    raw, typed = x.raw(), x.stored()
+    raw, known = x.keyed_raw()
+    typed = clean.clean_all(raw, x.by_order, with_sequence=False, known=known)
+    typed["sellers"] = small(typed["sellers"])
     audits = reject.audit_all(raw, typed)
     parts = []
     for name, audit in audits.items():

@@ -7,8 +7,8 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from conftest import SF
-from ledgerloom.plans import items, online
-from ledgerloom.session import buckets_of, materialize, materialize_by, small
+from ledgerloom.plans import clean, items, online, reject
+from ledgerloom.session import buckets_of, materialize, materialize_all, materialize_by, small
 from registry import spark_queries
 from registry.fixtures import dealt_sql
 from registry.inputs import Inputs
@@ -137,3 +137,49 @@ def test_request_rows_go_by_request_before_they_get_their_text(spark):
             assert whole.exceptAll(want).isEmpty() and want.exceptAll(whole).isEmpty()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_audit_of_raw_rows_dealt_by_order(spark, monkeypatch):
+    """Odd ids and copies included, the audit and the typed rows are those of plain raw rows; no row goes by order again."""
+    x = Inputs(spark, SF)
+    raw = x.raw()
+    long, same = "9" * 50 + "x", "9" * 50
+    for n in ("staging_orders", "staging_item_orders", "staging_payments", "staging_reviews"):
+        rows = raw[n].orderBy("order_id").limit(90)
+        odd = rows.limit(12)
+        other = F.col(rows.columns[-1])
+        changed = F.when(other.isNull(), "x").otherwise(F.lit(None)).alias(rows.columns[-1])
+        changed = odd.select(*rows.columns[:-1], changed)
+        texts = [odd.withColumn("order_id", F.lit(t).cast("string")) for t in (long, same, None, "")]
+        for more in (odd, changed, *texts):
+            rows = rows.unionByName(more)
+        if n == "staging_item_orders":
+            rows = rows.unionByName(odd.withColumn("product_id", F.lit(long)).withColumn("item_id", F.lit("77")))
+        raw[n] = rows.localCheckpoint()
+    product = raw["staging_products"].limit(1).withColumn("product_id", F.lit(same))
+    raw["staging_products"] = raw["staging_products"].unionByName(product).localCheckpoint()
+    plain_typed = clean.clean_all(raw, materialize_all, with_category=True)
+    plain = reject.audit_all(raw, plain_typed)
+
+    monkeypatch.setattr(Inputs, "raw", lambda self: raw)
+    monkeypatch.setattr(Inputs, "products", lambda self: plain_typed["products"])
+    keyed, known = x.keyed_raw()
+    for n, df in keyed.items():
+        back = df.select(*raw[n].columns)
+        assert back.count() == raw[n].count() and back.exceptAll(raw[n]).isEmpty()
+    typed = clean.clean_all(keyed, x.by_order, with_category=True, known=known)
+    for n, df in plain_typed.items():
+        got = typed[n].select(*df.columns)
+        assert got.count() == df.count() and got.exceptAll(df).isEmpty(), n
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        typed["sellers"] = small(typed["sellers"])
+        for n, got in reject.audit_all(keyed, typed).items():
+            assert got.columns == plain[n].columns
+            assert got.count() == plain[n].count() and got.exceptAll(plain[n]).isEmpty(), n
+            if clean.TYPED_ORDER in keyed[f"staging_{n}"].columns:
+                assert "Exchange hashpartitioning(_order" not in got._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange hashpartitioning(order_id" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
