@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from conftest import SF
+from ledgerloom.operators.ordered import ordered_prefix
 from ledgerloom.plans import clean, items, online, reject
 from ledgerloom.session import buckets_of, materialize, materialize_all, materialize_by, small
 from registry import spark_queries
@@ -183,3 +184,30 @@ def test_audit_of_raw_rows_dealt_by_order(spark, monkeypatch):
                 assert "Exchange hashpartitioning(order_id" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_pieces_in_buckets_need_no_exchange_of_their_rows(spark):
+    rows = spark.range(900).select((F.col("id") % 2).alias("g"), F.hash("id").alias("k"), F.lit(1).alias("v"))
+    args = {"sums": {"before": F.col("v")}, "pieces": 9}
+    plain, got = (ordered_prefix(rows, ["g"], "k", bucketed=b, **args) for b in (False, True))
+    assert got.count() == plain.count() == 900 and got.exceptAll(plain).isEmpty()
+    window = got._jdf.queryExecution().executedPlan().toString().split("Window", 1)[1]
+    assert "Exchange" not in window.split("Scan parquet", 1)[0]
+
+
+def test_payments_are_cleaned_where_they_were_dealt(spark):
+    """One exchange of the payments; the query that serves requests stores no joined items."""
+    x = Inputs(spark, SF)
+    x.buckets = 8
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        raw, _ = x.keyed_raw(store=False)
+        orders = x.by_order({"orders": clean.clean_orders(raw["staging_orders"])})["orders"]
+        got = clean.clean_payments(raw["staging_payments"], orders, with_sequence=False).repartition(x.buckets, "order_id")
+        assert got.count() == x.payments().count() > 0 and got.exceptAll(x.payments()).isEmpty()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(_order") == 2 and "Exchange hashpartitioning(order_id" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(x.serving_parts) == {"history", "encodings"} and "feature_parts" not in vars(x)
