@@ -980,22 +980,24 @@ def stream_latest_wins(x: Inputs) -> DataFrame:
 
 @query
 def stream_retries(x: Inputs) -> DataFrame:
-    """Every order row arrives, and again a day and three days later; the stream keeps the first."""
+    """Every order row arrives, and again a day and three days later; the stream keeps the first.
+
+    Years come one after the other, as a stream delivers them: the files of a year are written by several
+    tasks, and a run of the stream takes all that came since the last one as one batch.
+    """
     arrivals = F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))).alias("_later")
     orders = x.request_table("staging_user_orders").filter("request_id IS NOT NULL")
     again = orders.select("*", arrivals).withColumn("ingested_at", F.col("ingested_at") + F.make_dt_interval("_later")).drop("_later")
-    source, sink = new_folder(x.spark, "arrivals"), new_folder(x.spark, "first-arrivals")
-    # Years one after the other, as a stream delivers them; a file source goes by file times.
-    again = materialize(again.withColumn("_year", F.year("ingested_at")), "arrivals")
-    for (year,) in again.select("_year").distinct().orderBy("_year").collect():
-        again.filter(F.col("_year") == year).drop("_year").coalesce(1).write.mode("append").parquet(source)
-    again = again.drop("_year")
-    stream = x.spark.readStream.schema(again.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run = (
-        without_retries(stream, "14 days").writeStream.format("parquet").option("path", sink)
-        .option("checkpointLocation", new_folder(x.spark, "stream-checkpoint")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+    source, sink, checkpoint = (new_folder(x.spark, n) for n in ("arrivals", "first-arrivals", "stream-checkpoint"))
+    year = F.year("ingested_at")
+    for (arrived,) in again.select(year).distinct().orderBy(1).collect():
+        again.filter(year.eqNullSafe(F.lit(arrived))).write.mode("append").parquet(source)
+        stream = x.spark.readStream.schema(again.schema).parquet(source)
+        run = (
+            without_retries(stream, "14 days").writeStream.format("parquet").option("path", sink)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
     kept = x.spark.read.schema(again.schema).parquet(sink)
     return kept.groupBy("request_id").agg(F.count("*").alias("payloads"), F.min("ingested_at").cast("date").alias("first_arrival"))
 

@@ -211,3 +211,23 @@ def test_payments_are_cleaned_where_they_were_dealt(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert set(x.serving_parts) == {"history", "encodings"} and "feature_parts" not in vars(x)
+
+
+def test_a_year_of_arrivals_is_written_by_several_tasks(spark, monkeypatch):
+    folders = {}
+
+    def folder(session, label):
+        folders[label] = real(session, label)
+        return folders[label]
+
+    real, table = spark_queries.new_folder, Inputs.request_table
+    monkeypatch.setattr(spark_queries, "new_folder", folder)
+    some = "substring(request_id, 2) % 9 = 0"
+    monkeypatch.setattr(Inputs, "request_table", lambda self, name: table(self, name).filter(some).repartition(2))
+    got = spark_queries.QUERIES["stream_retries"](spark, SF)
+    orders = table(Inputs(spark, SF), "staging_user_orders").filter(some)
+    ids = orders.select("request_id").distinct()
+    assert got.count() == ids.count() > 0 and got.select("request_id").exceptAll(ids).isEmpty()
+    years = spark.read.parquet(folders["arrivals"]).select(F.year("ingested_at")).distinct().count()
+    files = [f for f in Path(folders["arrivals"].removeprefix("file:")).iterdir() if f.name.endswith(".parquet")]
+    assert len(files) == 2 * years
