@@ -231,3 +231,14 @@ def test_a_year_of_arrivals_is_written_by_several_tasks(spark, monkeypatch):
     years = spark.read.parquet(folders["arrivals"]).select(F.year("ingested_at")).distinct().count()
     files = [f for f in Path(folders["arrivals"].removeprefix("file:")).iterdir() if f.name.endswith(".parquet")]
     assert len(files) == 2 * years
+
+
+def test_a_small_file_of_many_rows_is_not_broadcast(spark):
+    """Files of zstd ids are far smaller than the rows a broadcast holds in memory."""
+    keys = F.concat(F.lit("r"), F.col("id").cast("string")).alias("k")
+    few = materialize(spark.range(0, 1_000_000, 1, 1).select(keys, F.lit("x").alias("same")), "few")
+    many = materialize(spark.range(0, 1_000_000, 1, 4).select(keys, F.sha2(F.col("id").cast("string"), 256).alias("v")), "many")
+    plan = many.join(few, "k", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    tiny = materialize(spark.range(5).select(keys), "tiny")
+    assert "BroadcastHashJoin" in many.join(tiny, "k", "left_semi")._jdf.queryExecution().executedPlan().toString()
