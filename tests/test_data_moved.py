@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from conftest import SF
 from ledgerloom.operators.ordered import ordered_prefix
 from ledgerloom.plans import clean, items, online, reject
-from ledgerloom.session import buckets_of, materialize, materialize_all, materialize_by, small
+from ledgerloom.session import buckets_of, materialize, materialize_all, materialize_by, new_folder, small
+from ledgerloom.streaming.requests import RequestFlow, RequestStore
 from registry import spark_queries
 from registry.fixtures import dealt_sql
 from registry.inputs import Inputs
@@ -242,3 +243,21 @@ def test_a_small_file_of_many_rows_is_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
     tiny = materialize(spark.range(5).select(keys), "tiny")
     assert "BroadcastHashJoin" in many.join(tiny, "k", "left_semi")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_batch_is_checked_in_its_buckets(spark, monkeypatch):
+    """The raw rows of a batch are dealt once; typing and dedupe send none of them again. Earlier rows of its requests count."""
+    taken = []
+    real = online.validate
+    monkeypatch.setattr(online, "validate", lambda raw, *more: taken.append(raw) or real(raw, *more))
+    x = Inputs(spark, SF)
+    raw = {n: df.limit(300).localCheckpoint() for n, df in x.requests().items()}
+    odd = {n: df.unionByName(df.limit(1).withColumn("request_id", F.lit(None).cast("string"))) for n, df in raw.items()}
+    flow = RequestFlow(RequestStore(spark, new_folder(spark, "requests"), buckets=2, age_unit=None))
+    for batch in range(2):
+        staged = flow.store.write_all(odd, batch)
+        flow.validate(staged, batch)
+    for name, df in taken[1].items():
+        assert df.drop(online.TYPED_ID).exceptAll(odd[name].unionAll(odd[name])).isEmpty() and df.count() == 2 * odd[name].count()
+    plan = online.valid_orders(taken[1]["staging_user_orders"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
