@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conftest import SF
 from ledgerloom.operators.ordered import ordered_prefix
-from ledgerloom.plans import clean, items, online, reject
+from ledgerloom.plans import checks, clean, items, online, reject
 from ledgerloom.session import buckets_of, materialize, materialize_all, materialize_by, new_folder, small
 from ledgerloom.streaming.requests import RequestFlow, RequestStore
 from registry import spark_queries
@@ -261,3 +263,26 @@ def test_a_batch_is_checked_in_its_buckets(spark, monkeypatch):
         assert df.drop(online.TYPED_ID).exceptAll(odd[name].unionAll(odd[name])).isEmpty() and df.count() == 2 * odd[name].count()
     plan = online.valid_orders(taken[1]["staging_user_orders"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_online_constraints_are_checked_in_the_buckets_of_requests(spark):
+    """Repeated ids, ids that are cut, missing ids and lost parents count as on plain rows."""
+    x = Inputs(spark, SF)
+    plain = {n.removeprefix("staging_"): x.fixture(n).limit(200).localCheckpoint() for n in ("staging_user_orders", "staging_user_order_items")}
+    for name, df in plain.items():
+        one = df.limit(1).localCheckpoint()
+        odd = [one, *(one.withColumn("request_id", F.lit(i).cast("string")) for i in ("r" * 50 + "x", "r" * 50, None, ""))]
+        plain[name] = reduce(DataFrame.unionByName, odd, df)
+    plain["user_order_items"] = plain["user_order_items"].unionByName(plain["user_order_items"].limit(1).withColumn("request_id", F.lit("r" * 50 + "z")))
+    split = materialize_by(online.TYPED_ID, 3)({n: online.split_id(df) for n, df in plain.items()})
+    dealt = {n: online.whole_id(df) for n, df in split.items()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        checked = [(checks.duplicate_keys(t["user_order_items"], "i", ["request_id", "item_id"]),
+                    checks.orphans(t["user_order_items"], "i", "request_id", t["user_orders"], "request_id")) for t in (dealt, plain)]
+        for got, want in zip(*checked, strict=True):
+            assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+            assert got.collect() == want.collect() and got.first()["violations"] > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
