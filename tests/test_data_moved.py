@@ -286,3 +286,16 @@ def test_online_constraints_are_checked_in_the_buckets_of_requests(spark):
             assert got.collect() == want.collect() and got.first()["violations"] > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_online_tables_are_written_from_the_buckets_of_requests(spark, monkeypatch):
+    hints = []
+    real = DataFrame.hint
+    monkeypatch.setattr(DataFrame, "hint", lambda self, name, *more: hints.append(name) or real(self, name, *more))
+    monkeypatch.setattr(Inputs, "requests", lambda self: (_ for _ in ()).throw(AssertionError("stored twice")))
+    x = Inputs(spark, SF)
+    store, shapes = spark_queries._online_tables(x)
+    assert "rebalance" not in hints
+    for name in ("staging_user_orders", "staging_user_order_items", "staging_user_payments"):
+        got, want = store.read(name, shapes[name]).drop("batch"), x.fixture(name)
+        assert got.columns == want.columns and got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
